@@ -4,26 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from engram.llm import bpe, language_id, simhash, token_count, toxicity
 from engram.llm._common import table
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from engram.llm.bpe import encode_batches
+def fold(mod: int, column: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo mod; a null id is in fold 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(mod)), F.lit(0))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs.where(fold(5) != 0), "text", "lang", "doc_id")
+    return language_id.predict(docs, "doc_id", "text", model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return encode_batches(docs, "doc_id", "text", columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold(5) != 0)
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    return toxicity.score(docs, "doc_id", "text", model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
-def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from engram.llm.token_count import count_tokens
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe.encode_batches(docs, "doc_id", "text", columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
-    return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_byte_bpe": op6_byte_bpe, "op8_token_count": op8_token_count}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
