@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, language_id, simhash, token_count, toxicity
+from engram.llm import bpe, language_id, secret_scan, simhash, token_count, toxicity
 from engram.llm._common import table
 
 
@@ -38,6 +38,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_batches(docs, "doc_id", "text", columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 

@@ -89,7 +89,7 @@ class Model:
         return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-def fit_rows(rows: list[tuple[int, list[int], list[int] | None]], features: list[int], prior: float, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, rounds: int = 400) -> Model:
+def fit_rows(rows: list[tuple[int, list[int], list[int] | None]], features: list[int], prior: float = 0.5, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, rounds: int = 400) -> Model:
     """rows: (label, features of the text, those of its counterfactual or None). prior: the share of label 1 that the bias stands for."""
     y = np.array([r[0] for r in rows], dtype=np.float64)
     if not len(y) or y.sum() == 0:
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     per = found.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     share = (F.col("p") + F.col("n")) / float(pos + neg)
     z = F.abs(F.col("p") / float(max(1, pos)) - F.col("n") / float(max(1, neg))) / F.sqrt(share * (1.0000001 - share) * (1.0 / max(1, pos) + 1.0 / max(1, neg)))
-    chosen = sorted(r["f"] for r in per.where(F.col("p") + F.col("n") >= 3).withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "f").limit(max_features).collect())
+    chosen = sorted(r["f"] for r in per.where(F.col("p") + F.col("n") >= 3).withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "f").limit(max_features).collect())
     shared = set(chosen)
 
     def narrow():
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     rows = [(r["y"], r["own"], r["other"]) for r in map_batches(found, narrow, "y int, own array<long>, other array<long>").collect()]
     forget(found)
-    return fit_rows(sorted(rows, key=lambda r: (r[0], sorted(r[1]))), chosen, counts[1] / sum(counts.values()))
+    return fit_rows(sorted(rows, key=lambda r: (r[0], sorted(r[1]))), chosen)
 
 
 def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
