@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, language_id, secret_scan, simhash, token_count, toxicity
+from engram.llm import bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity
 from engram.llm._common import table
 
 
@@ -46,9 +46,14 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.contamination(docs, "doc_id", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.SQL}
