@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity
-from engram.llm._common import table
+from engram.llm import bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity, warc
+from engram.llm._common import scratch_path, table
 
 
 def fold(mod: int, column: str = "doc_id") -> Column:
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, "doc_id", "text", model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.round_trip(pages, "page_id", "url", "html", scratch_path(spark, "warc"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -56,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {"op2_warc": warc.SQL, "op10_decontaminate": decontaminate.SQL}
