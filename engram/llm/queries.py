@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity, warc
+from engram.llm import ann, bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity, warc
 from engram.llm._common import scratch_path, table
 
 
@@ -31,6 +31,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(fold(5) != 0)
