@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import ann, bpe, decontaminate, language_id, secret_scan, simhash, token_count, toxicity, warc
+from engram.llm import ann, bpe, decontaminate, language_id, lm_score, secret_scan, simhash, token_count, toxicity, warc
 from engram.llm._common import scratch_path, table
 
 
@@ -56,6 +56,11 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", fold(7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contamination(docs, "doc_id", "text", table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text")
