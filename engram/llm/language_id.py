@@ -144,8 +144,9 @@ def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_languag
     return fit_rows(rows, landmarks)
 
 
-def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """One row for each row of df: id, lang_pred, score."""
+def annotate(df: DataFrame, text_col: str, model: Model, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """df, or its named columns, with lang_pred and lang_score. Rows pass through as Arrow batches, in their order."""
+    keep = columns or tuple(df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -164,7 +165,7 @@ def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
                     scores.append(s)
                 texts.clear()
 
-            for x in batch.column(1):
+            for x in batch.column(0):
                 text = x.as_py() or ""
                 texts.append(text if has_letter(text) else None)
                 size += len(text)
@@ -172,8 +173,14 @@ def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFram
                     flush()
                     size = 0
             flush()
-            return {id_col: batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+            return {c: batch.column(i + 1) for i, c in enumerate(keep)} | {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(scores, pa.float64())}
 
         return step
 
-    return map_batches(df.select(id_col, text_col), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    return map_batches(df.select(F.col(text_col).alias("_text"), *keep), make, f"{kinds}, lang_pred string, lang_score double")
+
+
+def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """One row for each row of df: id, lang_pred, score."""
+    return annotate(df, text_col, model, (id_col,)).withColumnRenamed("lang_score", "score")
