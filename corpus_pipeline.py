@@ -1,7 +1,7 @@
 """A training-corpus pipeline over `documents`: five stages, each on all that its predecessor kept.
 
 language_id keeps documents whose language is told with a score of at least MIN_LANGUAGE; simhash keeps the document of the smallest id
-of each near-duplicate group; decontaminate drops those that hold a benchmark item; secret_scan replaces secrets by a mark and
+of each group of near-duplicates (five-word shingles, similarity 0.8); decontaminate drops those that hold a benchmark item; secret_scan replaces secrets by a mark and
 sets n_chars anew; byte_bpe encodes and adds ids, their number and the digest of the decoded bytes.
 
 Cases: null and empty texts have no language and go in the first stage. Rows with one id and one text are one document; with different
@@ -36,12 +36,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, "doc_id", "text")
-    found = materialize(found, "groups")
+    found = materialize(simhash.similar_texts(docs, "doc_id", "text"), "groups")
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     kept = _without(docs, others).where(F.col("doc_id").isNotNull())
     again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    lone = materialize(found.where("doc_id is null and component_id is null").groupBy("fingerprint").count(), "unnamed")
+    lone = found.where("doc_id is null and component_id is null")
     if again.limit(1).count():
         once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
