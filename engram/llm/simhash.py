@@ -287,10 +287,10 @@ def wide_fingerprint(text: str, words: int = WIDE_WORDS, lanes: int = WIDE_LANES
 
 def wide_radius(similarity: float = SIMILARITY, lanes: int = WIDE_LANES) -> int:
     """Differing bits up to which two fingerprints count as similar: what sets of that Jaccard similarity are expected to differ by,
-    and one standard deviation more, so that most pairs at the very threshold are linked."""
+    and two standard deviations more, so that nearly all pairs at the very threshold are linked."""
     bits = 64 * lanes
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
 
 
 def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = WIDE_WORDS, lanes: int = WIDE_LANES, block_bits: int = BLOCK_BITS, bin_rows: int = BIN_ROWS) -> DataFrame:
