@@ -97,15 +97,16 @@ def knn(items: DataFrame, id_col: str, vector_col: str, k: int, block: int = 409
     parts = max(1, -(-n // block))
     dealt = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").withColumn("part", F.pmod(F.xxhash64(F.col("id")), F.lit(parts)).cast("int"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = dealt.withColumnRenamed("part", "other").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # other names: the two sides come from one table
+    right = dealt.select(F.col("id").alias("jd"), F.col("v").alias("w"), F.col("part").alias("other")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def meet(a, b):
         import pyarrow as pa
 
         rows = ([], [], [])
         if a.num_rows and b.num_rows:
-            x, y = np.array(a["v"].to_pylist()), np.array(b["v"].to_pylist())
-            ia, ib = np.array(a["id"].to_pylist()), np.array(b["id"].to_pylist())
+            x, y = np.array(a["v"].to_pylist()), np.array(b["w"].to_pylist())
+            ia, ib = np.array(a["id"].to_pylist()), np.array(b["jd"].to_pylist())
             d = 1 - x @ y.T
             d[ia[:, None] == ib[None, :]] = np.inf
             for i in range(len(ia)):
