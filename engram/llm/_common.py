@@ -60,15 +60,15 @@ def forget(*frames: DataFrame) -> None:
             _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """Arrow-batched map. make() runs once in a task and returns a function from a batch to columns."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 1_000) -> DataFrame:
+    """Arrow-batched map. make() runs once in a task and returns a function from a batch of at most `rows` rows to columns."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                out = step(whole.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
     return df.mapInArrow(run, schema)

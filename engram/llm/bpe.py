@@ -13,18 +13,24 @@ valid UTF-8 cannot occur in a Spark string column that Python reads.
 from __future__ import annotations
 
 import base64
+import hashlib
 from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from engram.llm._common import map_batches
 
-#: Segments remembered by a Python worker; the memo is emptied when it is full. Bounds memory, not results.
-MEMO = 700_000
+#: Segments, and pairs of tokens, remembered by a Python worker; a memo is emptied when it is full. Bounds memory, not results.
+MEMO = 250_000
+PAIRS = 400_000
+#: Rows of one output batch, so that the ids of a few hundred texts are held at a time.
+ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,15 +66,15 @@ class BytePairEncoder:
             if merge_plain(token, ranks) == [token]:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
-        self.together: dict[tuple[int, int], bool] = {}
+        self.together: dict[int, bool] = {}  # keyed by both ids, 20 bits each
         self.memo: dict[str, tuple[int, ...]] = {}
         self.after: dict[str, tuple[int, ...]] = {}  # keyed without the leading blank
 
     def compatible(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 20 | b
         known = self.together.get(key)
         if known is None:
-            if len(self.together) >= MEMO:
+            if len(self.together) >= PAIRS:
                 self.together.clear()
             x, y = self.words[a], self.words[b]
             known = self.together[key] = merge_plain(x + y, self.ranks) == [x, y]
@@ -107,7 +113,7 @@ class BytePairEncoder:
                 at += 1
                 ids, good, end = [], True, bounds[at]
             if good and ids:
-                ok = together.get((ids[-1], rank))
+                ok = together.get(ids[-1] << 20 | rank)
                 good = known(ids[-1], rank) if ok is None else ok
             ids.append(rank)
         if left:
@@ -134,7 +140,7 @@ class BytePairEncoder:
             while i >= 0:
                 size, rank = options[i]
                 if not dead[pos + size - begin]:
-                    ok = together.get((ids[-1], rank)) if ids else True
+                    ok = together.get(ids[-1] << 20 | rank) if ids else True
                     if known(ids[-1], rank) if ok is None else ok:
                         break
                 i -= 1
@@ -236,10 +242,6 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None = None, pattern: str | None = None, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
     """One row for each row of df: the id, then of `columns` those asked for: ids (array<int>), n_tokens, ids_sha256,
     decoded (binary, by decoding the ids), decoded_sha256. Null text counts as empty."""
-    import hashlib
-
-    import pyarrow as pa
-
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("binary", pa.binary()), "decoded_sha256": ("string", pa.string())}
     path, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
@@ -254,7 +256,7 @@ def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None
                 decoded = e.decode(ids) if "decoded" in out or "decoded_sha256" in out else b""
                 for c, put in out.items():
                     if c == "ids":
-                        put.append(ids)
+                        put.append(np.array(ids, dtype=np.int32))
                     elif c == "n_tokens":
                         put.append(len(ids))
                     elif c == "ids_sha256":
@@ -263,9 +265,13 @@ def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None
                         put.append(decoded)
                     else:
                         put.append(hashlib.sha256(decoded).hexdigest())
-            return {id_col: batch.column(0)} | {c: pa.array(v, kinds[c][1]) for c, v in out.items()}
+            made = {id_col: batch.column(0)} | {c: pa.array(v, kinds[c][1]) for c, v in out.items() if c != "ids"}
+            if "ids" in out:
+                ends = np.cumsum([0, *map(len, out["ids"])]).astype(np.int32)
+                made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out["ids"])))
+            return made
 
         return step
 
     schema = ", ".join([f"{id_col} {df.schema[id_col].dataType.simpleString()}", *(f"{c} {kinds[c][0]}" for c in columns)])
-    return map_batches(df.select(id_col, text_col), make, schema)
+    return map_batches(df.select(id_col, text_col), make, schema, ROWS)
