@@ -106,9 +106,13 @@ def evidence(run: Column) -> Column:
             rate = WRITING["changes"]
             runs = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
             mean = F.aggregate(k, F.lit(0.0), lambda a, b: a + b) / n
-            spread = F.aggregate(k, F.lit(0.0), lambda a, b: a + (b - mean) * (b - mean))
-            lag = F.aggregate(F.zip_with(earlier, later, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, b: a + b)
-            serial = (WRITING["serial"] - F.when(spread > 0, lag / spread).otherwise(1.0)) * F.sqrt(n)
+
+            def correlation(m: Column) -> Column:  # with the mean at hand; it would else be summed anew for each symbol
+                spread = F.aggregate(k, F.lit(0.0), lambda a, b: a + (b - m) * (b - m))
+                lag = F.aggregate(F.zip_with(earlier, later, lambda a, b: (a - m) * (b - m)), F.lit(0.0), lambda a, b: a + b)
+                return _let(spread, lambda v: F.when(v > 0, lag / v).otherwise(1.0))
+
+            serial = (WRITING["serial"] - _let(mean, correlation)) * F.sqrt(n)
             return (chi + runs + serial) / F.sqrt(F.lit(3.0))
 
         return _let(kinds, order)

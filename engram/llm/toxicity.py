@@ -104,7 +104,7 @@ def fit_rows(rows: list[tuple[int, list[int], list[int] | None]], features: list
             d[[place[h] for h in other if h in place]] -= 1
             change.append(d)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))
-    d = np.array(change, dtype=np.float32).reshape(-1, len(features))
+    d = np.array(change, dtype=np.float32).reshape(len(change), len(features))
     w, b = np.zeros(len(features)), 0.0
     vw, vb, first_w, first_b = np.zeros(len(features)), 0.0, np.zeros(len(features)), 0.0
     for t in range(1, rounds + 1):  # Adam on the full batch
