@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.text import glob_regex
 
-DEFAULT_IGNORE = (".git", ".obsidian", ".trash", "node_modules", ".hebbs", ".engram")
+DEFAULT_IGNORE = (".git", ".obsidian", ".trash", "node_modules", ".engram")
 MIN_SECTION = 50
 SECTION = "array<struct<heading_path: array<string>, level: int, start: long, stop: long, content: string, links: array<string>, tags: array<string>>>"
 PARSED = f"struct<front_matter: string, sections: {SECTION}>"
