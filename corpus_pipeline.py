@@ -21,6 +21,8 @@ from engram.llm._common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE = 0.5
+#: Entries of the encoder's memos: executors that have run the other stages have less room left.
+MEMO = 250_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_batches(docs.select("doc_id", "text"), "doc_id", "text", columns=("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe.encode_batches(docs.select("doc_id", "text"), "doc_id", "text", columns=("ids", "n_tokens", "ids_sha256", "decoded_sha256"), memo=MEMO)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

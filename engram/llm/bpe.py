@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from engram.llm._common import map_batches
 
 #: Segments, and pairs of tokens, remembered by a Python worker; a memo is emptied when it is full. Bounds memory, not results.
-MEMO = 250_000
-PAIRS = 400_000
+MEMO = 700_000
+PAIRS = 700_000
 #: Rows of one output batch, so that the ids of a few hundred texts are held at a time.
 ROWS = 256
 
@@ -56,7 +56,8 @@ def merge_plain(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class BytePairEncoder:
     """encode() and decode() for one vocabulary and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int | None = None):
+        self.most, self.pairs = memo or MEMO, memo or PAIRS
         self.ranks = ranks
         self.words = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -74,7 +75,7 @@ class BytePairEncoder:
         key = a << 20 | b
         known = self.together.get(key)
         if known is None:
-            if len(self.together) >= PAIRS:
+            if len(self.together) >= self.pairs:
                 self.together.clear()
             x, y = self.words[a], self.words[b]
             known = self.together[key] = merge_plain(x + y, self.ranks) == [x, y]
@@ -177,7 +178,7 @@ class BytePairEncoder:
     def _learn(self, memo: dict[str, tuple[int, ...]], lead: str, keys: list[str]) -> None:
         new = [k for k in set(keys) if k not in memo]
         if new:
-            if len(memo) + len(new) > MEMO:
+            if len(memo) + len(new) > self.most:
                 memo.clear()
                 new = list(set(keys))
             memo.update(zip(new, self.encode_segments([lead + k for k in new]), strict=True))
@@ -234,19 +235,19 @@ _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> BytePairEncoder:
+def encoder(path: str, pattern: str, memo: int | None = None) -> BytePairEncoder:
     """One encoder for a Python worker; reused by its later tasks."""
-    return BytePairEncoder(read_ranks(path), pattern)
+    return BytePairEncoder(read_ranks(path), pattern, memo)
 
 
-def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None = None, pattern: str | None = None, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
+def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None = None, pattern: str | None = None, columns: tuple[str, ...] = ("ids",), memo: int | None = None) -> DataFrame:
     """One row for each row of df: the id, then of `columns` those asked for: ids (array<int>), n_tokens, ids_sha256,
-    decoded (binary, by decoding the ids), decoded_sha256. Null text counts as empty."""
+    decoded (binary, by decoding the ids), decoded_sha256. Null text counts as empty. A smaller memo takes less memory and more time."""
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("binary", pa.binary()), "decoded_sha256": ("string", pa.string())}
     path, pattern = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def make():
-        e = encoder(path, pattern)
+        e = encoder(path, pattern, memo)
         decimal = {i: str(i) for i in e.words}.__getitem__
 
         def step(batch):

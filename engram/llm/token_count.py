@@ -29,7 +29,7 @@ from engram.llm.bpe import cut
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
 #: Segments remembered by a Python worker; the memo is emptied when it is full. Bounds memory, not results.
-MEMO = 400_000
+MEMO = 700_000
 
 
 class TokenCounter:
