@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm._common import forget, map_batches, materialize
-from engram.llm.components import components
+from engram.llm.components import components, contracted_components
 
 RADIUS = 3
 BIN_ROWS = 16_384
@@ -335,7 +335,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
 
 def _with_components(prints: DataFrame, items: DataFrame, linked: DataFrame, id_col: str) -> DataFrame:
-    rooted = components(linked).withColumnsRenamed({"node": "item"})
+    rooted = contracted_components(linked).withColumnsRenamed({"node": "item"})
     with_root = materialize(items.join(rooted, "item", "left").select("item", "first_id", F.coalesce("root", "item").alias("root")), "rooted")
     lowest = materialize(with_root.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     classes = materialize(with_root.join(lowest, "root").select("item", "component_id"), "classes")

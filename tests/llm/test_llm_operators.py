@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from engram.llm import ann, bpe, decontaminate, language_id, lm_score, queries, secret_scan, simhash, token_count, toxicity, warc
 from engram.llm._common import scratch_path
-from engram.llm.components import components
+from engram.llm.components import components, contracted_components
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (4, "word"), (5, "a b"), (None, "no id at all"), (None, None), (6, "é漢🎉 x y z"), (7, "same text here twice"), (8, "same text here twice"), (9, "long " * 30_000), (10, "x" * 200_000), (11, "1234 5678 !!! ***")]
 SCHEMA = "doc_id long, text string, lang string, bits long, item long, id long, n long, lanes string"
@@ -244,7 +244,9 @@ def test_similar_texts(spark, odd, empty):
 
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert {r.node: r.root for r in contracted_components(df).collect()} == got
     assert got == {i: 0 for i in range(101)} | {i: 1000 for i in range(1000, 1400)}
 
 
