@@ -207,7 +207,7 @@ def cut(text: str) -> list[tuple[str, list[str]]]:
     lines = text.split("\n")
     for k, line in enumerate(lines):
         words = line.split(" ")
-        if not line or len(line.split()) != len(words):  # other white space, or blanks together
+        if not line or line.split() != words:  # other white space, or blanks together
             return [(part, []) for part in segments(text)]
         if k:
             out.append(("\n", []))

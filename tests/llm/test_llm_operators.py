@@ -56,6 +56,15 @@ def test_bpe_is_exact(reference):
     assert e.encode(long) == reference.encode_ordinary(long)
 
 
+def test_other_white_space_does_not_balance_blanks():
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks[b"  "] = len(ranks)  # the vocabulary itself has no token of two blanks
+    e, r = bpe.BytePairEncoder(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("blanks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for s in ("a\tb\tc   d", "1\t2\t3   total", "x\u00a0y\u00a0z   w", "\ta b   c\td\te\n1\t2  3"):
+        assert e.encode(s) == r.encode_ordinary(s)
+        assert all(not word[:1].isspace() and word for _, words in bpe.cut(s) for word in words)
+
+
 def test_bpe_memo_may_be_emptied(reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
     e = bpe.BytePairEncoder(reference._mergeable_ranks, public_tokenizers.PATTERN)
