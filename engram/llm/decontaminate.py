@@ -2,8 +2,8 @@
 
 Texts are lower-cased and cut into runs of letters and digits. A seed is the hash of some of 9 tokens, chosen by a fixed mask that
 ignores the others; of the three masks at least one is free of any one given place, so a single substitution among 9 tokens
-never hides all seeds. Benchmark items have seeds at every token, documents at every fourth (more often if the benchmark has items of fewer than
-12 tokens), so that a common stretch of 12 tokens, or a whole item, always holds a place that both have hashed. Seeds are joined; around each hit the aligned tokens of document and item,
+never hides all seeds. Benchmark items and documents have seeds at every token, so where a passage stands does not matter: any 11 of 13 equal
+tokens share a seed. Seeds are joined; around each hit the aligned tokens of document and item,
 from 8 before to 15 behind, are compared, and a document holds an item if 11 of some 13 successive ones are equal (for an item
 of fewer tokens: four fifths of all of it).
 
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 SPAN = 9
 MASKS = ((0, 1, 2, 4, 7), (1, 3, 5, 6, 8), (0, 2, 3, 6, 8))
-STRIDE = 4
 BEFORE, BEHIND = 8, 16
 STRETCH, EQUAL, SHARE = 13, 11, 0.8
 BROADCAST_TOKENS = 120_000
@@ -32,12 +31,12 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, stride: int) -> DataFrame:
-    """(id, win, n): the tokens from BEFORE a place to BEHIND it, null beyond the text, at every stride-th place; n of the text."""
+def windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, win, n): the tokens from BEFORE a place to BEHIND it, null beyond the text, at every place; n of the text."""
     none = F.lit(None).cast("long")
     tokens = df.select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("t")).where(F.size("t") >= SPAN)
     padded = tokens.select("id", F.size("t").alias("n"), F.concat(F.array_repeat(none, BEFORE), F.col("t"), F.array_repeat(none, BEHIND)).alias("p"))
-    places = F.sequence(F.lit(1), F.col("n") - SPAN + 1, F.lit(stride))
+    places = F.sequence(F.lit(1), F.col("n") - SPAN + 1)
     return padded.select("id", "n", F.explode(F.transform(places, lambda k: F.slice(F.col("p"), k, BEFORE + BEHIND))).alias("win"))
 
 
@@ -56,12 +55,9 @@ def overlap(ours: Column, theirs: Column, n: Column) -> Column:
 
 def hits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(id, item) of every document and benchmark item that it holds, once each."""
-    theirs = seeded(windows(items, item_id, item_text, 1)).select("seed", F.col("id").alias("item"), F.col("n").alias("item_n"), F.col("win").alias("item_win")).distinct()
-    n = F.size(token_hashes(F.col(item_text)))
-    size, shortest = items.select(n.alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.min(F.when(F.col("n") >= SPAN, F.col("n")))).first()
-    # so that the shortest item, too, holds a seeded place wherever it stands
-    stride = min(STRIDE, (shortest or SPAN) - SPAN + 1)
-    ours = seeded(windows(docs, id_col, text_col, stride)).select("id", "win", "seed")
+    theirs = seeded(windows(items, item_id, item_text)).select("seed", F.col("id").alias("item"), F.col("n").alias("item_n"), F.col("win").alias("item_win")).distinct()
+    size = items.select(F.size(token_hashes(F.col(item_text))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ours = seeded(windows(docs, id_col, text_col)).select("id", "win", "seed")
     found = ours.join(F.broadcast(theirs) if size <= broadcast_tokens else theirs, "seed")
     return found.where(overlap(F.col("win"), F.col("item_win"), F.col("item_n"))).select("id", "item").distinct()
 

@@ -442,6 +442,18 @@ def test_decontamination(spark, data, odd, empty):
     assert sorted(map(tuple, queries.op10_decontaminate(spark, data).collect())) == want
 
 
+def test_decontamination_at_any_place(spark):
+    words = [f"t{i}" for i in range(13)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    rows = []
+    for before in range(4):
+        for a in range(13):
+            for b in range(a):
+                rows.append((len(rows), " ".join(["x"] * before + [f"o{k}" if k in (a, b) else w for k, w in enumerate(words)] + ["y"] * 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id for r in decontaminate.hits(docs, "doc_id", "text", items, "item_id", "text").collect()} == set(range(len(rows)))
+
+
 # ---- the pipeline
 
 
