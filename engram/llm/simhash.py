@@ -273,17 +273,27 @@ WIDE_WORDS, WIDE_LANES, BLOCK_BITS, SIMILARITY = 5, 6, 11, 0.8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-def wide_fingerprint(text: str, words: int = WIDE_WORDS, lanes: int = WIDE_LANES) -> np.ndarray:
-    """Fingerprint of several 64-bit lanes; each lane is the SimHash under another mixing of the shingles' hashes."""
+def shingles(text: str, words: int = WIDE_WORDS) -> np.ndarray:
+    """The hashes of the text's word shingles, in order, each once."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(lanes, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     joined, ends, p = b" ".join(w), [-1], -1
     for x in w:
         p += len(x) + 1
         ends.append(p)
-    h = np.array([digest(joined[a + 1 : b], 42) for a, b in zip(ends, ends[words:], strict=False)] or [digest(joined, 42)], dtype=np.uint64)
+    return np.unique(np.array([digest(joined[a + 1 : b], 42) for a, b in zip(ends, ends[words:], strict=False)] or [digest(joined, 42)], dtype=np.uint64))
+
+
+def wide_fingerprint(text: str, words: int = WIDE_WORDS, lanes: int = WIDE_LANES) -> np.ndarray:
+    """Fingerprint of several 64-bit lanes; each lane is the SimHash of the set of shingles under another mixing of their hashes."""
+    return _lanes(shingles(text, words), lanes)
+
+
+def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
+    if not len(h):
+        return np.zeros(lanes, dtype=np.uint64)
     out = [majority(h)]
     for k in range(1, lanes):
         m = (h ^ (h >> np.uint64(29))) * _MIX[k]

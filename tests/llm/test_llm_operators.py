@@ -251,6 +251,13 @@ def test_similar_texts(spark, odd, empty):
     assert simhash.similar_texts(odd, "doc_id", "text").count() == len(ODD) and simhash.similar_texts(empty, "doc_id", "text").count() == 0
 
 
+def test_similar_texts_are_sets(spark):
+    line, one, other = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("s", 18), ("a", 100), ("b", 100)))
+    rows = [(1, f"{line} {one}"), (2, f"{line} " * 12 + one), (3, f"{line} " * 12 + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df, "doc_id", "text").collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000)]
     df = spark.createDataFrame(edges, "a long, b long")
