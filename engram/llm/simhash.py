@@ -21,7 +21,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm._common import forget, map_batches, materialize
@@ -151,9 +151,9 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, ti
     return out
 
 
-def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[np.ndarray, np.ndarray | None, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
-    """binned: (bin, item, and what compare_rows needs). Items of one bin meet; bins of more than bin_rows items are dealt out as pairs of groups."""
-    large = materialize(binned.groupBy("bin").count().where(F.col("count") > bin_rows).select("bin", F.ceil(F.col("count") / bin_rows).cast("int").alias("parts")), "bins")
+def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes], list[bytes] | None, np.ndarray], list[tuple[int, int]]], weight: Column | None = None) -> DataFrame:
+    """binned: (bin, item, lanes). Items of one bin meet; bins of more than bin_rows items (or that sum of weights) are dealt out as pairs of groups."""
+    large = materialize(binned.groupBy("bin").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).where(F.col("count") > bin_rows).select("bin", F.ceil(F.col("count") / bin_rows).cast("int").alias("parts")), "bins")
     dealt = binned.join(large, "bin", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("item", F.lit(7)), F.col("parts"))).cast("int"))
     # a group meets itself, and each other group once: (low, high) names the task
     meets = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
@@ -170,13 +170,13 @@ def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[np.ndarray,
             if rows.num_rows > 1:
                 part, low, high = (np.asarray(rows[c]) for c in ("part", "low", "high"))
                 item = np.asarray(rows["item"])
-                lanes = np.frombuffer(b"".join(rows["lanes"].to_pylist()), dtype="<u8").reshape(rows.num_rows, -1)
+                lanes = rows["lanes"].to_pylist()
                 if low[0] == high[0]:
                     found, names = compare_rows(lanes, None, item), item
                 else:
                     first = part == low[0]
                     names = np.concatenate([item[first], item[~first]])
-                    found = compare_rows(lanes[first], lanes[~first], names)
+                    found = compare_rows([x for x, f in zip(lanes, first) if f], [x for x, f in zip(lanes, first) if not f], names)
                 out.extend((int(names[a]), int(names[b])) for a, b in found)
 
         def flush() -> pa.RecordBatch:
@@ -269,7 +269,9 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, radius: int = RAD
 
 # ---- similarity of word shingles, by wide fingerprints
 
-WIDE_WORDS, WIDE_LANES, BLOCK_BITS, SIMILARITY = 5, 6, 11, 0.8
+WIDE_WORDS, WIDE_LANES, BLOCK_BITS, SIMILARITY = 5, 7, 11, 0.8
+#: Shingles of a cluster of candidates that one group compares at most; larger clusters are dealt out as pairs of groups.
+CLUSTER_SHINGLES = 250_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -301,26 +303,71 @@ def _lanes(h: np.ndarray, lanes: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _set_name(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def wide_radius(similarity: float = SIMILARITY, lanes: int = WIDE_LANES) -> int:
-    """Differing bits up to which two fingerprints count as similar: what sets of that Jaccard similarity are expected to differ by,
-    and two standard deviations more, so that nearly all pairs at the very threshold are linked."""
+    """Differing bits up to which two fingerprints are candidates: what sets of that Jaccard similarity are expected to differ by,
+    and six standard deviations more, as small sets differ by more than expected; candidates are verified."""
     bits = 64 * lanes
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 2 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
+
+
+def jaccard_links(sets: list[np.ndarray], names: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links of each row to that of the least name of its component, for the components of all pairs of sets whose Jaccard similarity is
+    at least `similarity`. A set is compared with those of fitting size that its component has not reached yet."""
+    sizes = np.array([len(x) for x in sets])
+    rest = np.argsort(sizes, kind="stable")
+    rest = rest[sizes[rest] > 0]
+    if len(rest) < 2:
+        return []
+    sizes = sizes[rest]
+    _, flat = np.unique(np.concatenate([sets[k] for k in rest]), return_inverse=True)
+    code = np.split(flat, np.cumsum(sizes)[:-1])
+    alive, mark = np.ones(len(rest), dtype=bool), np.zeros(flat.max() + 1, dtype=bool)
+    at, held = np.arange(len(rest)), flat  # the rows that are still looked through, and their shingles
+    out: list[tuple[int, int]] = []
+    for seed in range(len(rest)):
+        if not alive[seed]:
+            continue
+        alive[seed], group, done = False, [seed], 0
+        while done < len(group):
+            x = group[done]
+            done += 1
+            if alive[at].sum() * 2 < len(at):
+                at = at[alive[at]]
+                held = np.concatenate([code[k] for k in at]) if len(at) else flat[:0]
+            ends = np.concatenate([[0], np.cumsum(sizes[at])])
+            lo, hi = np.searchsorted(sizes[at], [np.ceil(similarity * sizes[x] - 1e-9), np.floor(sizes[x] / similarity + 1e-9) + 1])
+            if lo >= hi:
+                continue
+            mark[code[x]] = True
+            both = np.add.reduceat(mark[held[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo], dtype=np.int64)
+            mark[code[x]] = False
+            near = at[lo:hi][(both >= similarity * (sizes[at[lo:hi]] + sizes[x] - both) - 1e-9) & alive[at[lo:hi]]]
+            alive[near] = False
+            group += near.tolist()
+        members = rest[group].tolist()
+        first = min(members, key=names.__getitem__)
+        out += [(first, k) for k in members if k != first]
+    return out
 
 
-def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = WIDE_WORDS, lanes: int = WIDE_LANES, block_bits: int = BLOCK_BITS, bin_rows: int = BIN_ROWS) -> DataFrame:
-    """One row for each row of df: id, component_id, for texts whose sets of word shingles have about `similarity` or more in common.
+def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = WIDE_WORDS, lanes: int = WIDE_LANES, block_bits: int = BLOCK_BITS, bin_rows: int = BIN_ROWS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """One row for each row of df: id, component_id, for texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    A pair meets if one of the fingerprints' blocks of block_bits is equal: with 34 blocks of 11 bits that holds for 997 of 1000
-    pairs of similarity 0.8; where they meet, whole fingerprints are compared in tiles as above."""
+    Texts of equal sets are one item. A pair meets if one of the fingerprints' blocks of block_bits is equal: with 40 blocks of 11 bits that holds for 999 of
+    1000 pairs of similarity 0.8; where they meet, whole fingerprints are compared in tiles as above, within a wide radius. That only finds clusters of
+    candidates: the links are all pairs of a cluster whose sets of shingles are similar enough, which is computed from the texts."""
     kind = df.schema[id_col].dataType.simpleString()
     blocks, radius = 64 * lanes // block_bits, wide_radius(similarity, lanes)
 
     def make():
         def step(batch):
-            found = [wide_fingerprint(x.as_py() or "", words, lanes).astype("<u8").tobytes() for x in batch.column(1)]
-            return {id_col: batch.column(0), "lanes": pa.array(found, pa.binary()), "item": pa.array([xxhash.xxh64_intdigest(f) - (1 << 63) for f in found], pa.int64())}
+            found = [shingles(x.as_py() or "", words) for x in batch.column(1)]
+            return {id_col: batch.column(0), "lanes": pa.array([_lanes(h, lanes).astype("<u8").tobytes() for h in found], pa.binary()), "item": pa.array(map(_set_name, found), pa.int64())}
 
         return step
 
@@ -340,7 +387,34 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
         return step
 
     binned = map_batches(items.select("item", "lanes"), bins, "item long, lanes binary, bin long")
-    linked = materialize(_meet(binned, bin_rows, lambda left, right, names: compare(left, right, radius, names=names)), "links")
+    def near(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:
+        rows = [x if x is None else np.frombuffer(b"".join(x), dtype="<u8").reshape(len(x), -1) for x in (left, right)]
+        return compare(rows[0], rows[1], radius, names=names)
+
+    found = materialize(_meet(binned, bin_rows, near), "found")
+    clusters = materialize(contracted_components(found).select(F.col("node").alias("item"), F.col("root").alias("bin")), "clusters")
+
+    def named():
+        def step(batch):
+            return {"item": pa.array([_set_name(shingles(x.as_py() or "", words)) for x in batch.column(0)], pa.int64()), "text": batch.column(0)}
+
+        return step
+
+    def sets():
+        def step(batch):
+            made = [shingles(x.as_py() or "", words) for x in batch.column(2)]
+            return {"bin": batch.column(0), "item": batch.column(1), "n": pa.array(map(len, made), pa.int64()), "lanes": pa.array([h.astype("<u8").tobytes() for h in made], pa.binary())}
+
+        return step
+
+    once = map_batches(df.select(F.col(text_col).alias("text")), named, "item long, text string").join(clusters, "item").groupBy("item").agg(F.first("bin").alias("bin"), F.first("text").alias("text"))
+    members = materialize(map_batches(once.select("bin", "item", "text"), sets, "bin long, item long, n long, lanes binary"), "members")
+
+    def same(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:
+        return jaccard_links([np.frombuffer(x, dtype="<u8") for x in left + (right or [])], names, similarity)
+
+    linked = materialize(_meet(members, cluster_shingles, same, F.col("n")), "links")
+    forget(found, clusters, members)
     return _with_components(prints.select(id_col, "item"), items.select("item", "first_id"), linked, id_col)
 
 

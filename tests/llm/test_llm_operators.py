@@ -258,6 +258,41 @@ def test_similar_texts_are_sets(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_texts(df, "doc_id", "text").collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def jaccard_roots(sets, similarity=0.8):
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_jaccard_links_are_brute_force():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(np.concatenate([rng.choice(40, rng.integers(1, 40), replace=False) + 100 * g, rng.choice(9, 2) + 900])).astype(np.uint64) for g in rng.integers(0, 3, 300)]
+    got = list(range(300))
+    for a, b in simhash.jaccard_links(sets, np.arange(300)):
+        got[b] = a
+    assert got == jaccard_roots([set(x.tolist()) for x in sets])
+
+
+def test_similar_texts_are_verified(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for g in range(60):
+        t = list(rng.choice(words, 300))
+        # other words at the end: similarity about 0.71, 0.75 and 0.84 to the first
+        rows += [" ".join(t[:at] + [f"c{g}_{at}_{k}" for k in range(at, 300)]) for at in (300, 250, 258, 275)]
+    sets = [set(simhash.shingles(x).tolist()) for x in rows]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = dict(enumerate(jaccard_roots(sets)))
+    assert len(set(want.values())) == 180
+    for most in (250_000, 400):
+        assert {r.doc_id: r.component_id for r in simhash.similar_texts(df, "doc_id", "text", cluster_shingles=most).collect()} == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000)]
     df = spark.createDataFrame(edges, "a long, b long")
