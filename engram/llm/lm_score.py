@@ -1,18 +1,22 @@
-"""Language-model scores: a probabilistic suffix tree over bytes, beside a unigram base over words.
-
-The tree: texts are lower-cased (A-Z), their bytes mapped to 62 classes for the most frequent bytes and one for the rest, whose
-bytes then have shares of their own; class 0 begins and ends a text. All contexts of up to four classes and what follows them are counted over
-all training texts. A context is kept as a state if it is frequent enough and its next-class distribution diverges from its
-parent's: occurrences times Kullback-Leibler divergence, against a share of all symbols. Distributions are smoothed towards
-the parent's, down to the root, which is smoothed towards uniform. A text is scored from the state of the longest kept suffix of
-each place. The least frequency bounds the number of states, whatever the corpus (see MIN_SHARE).
-
-The base: words are separated by ASCII white space, a text has one end token. Batches of texts send each of their distinct words'
-64-bit hash and training count once to the hash's bucket, which sends the word's total back; no word is joined with the documents
-that hold it, so frequent words are no hot keys. Two words of one hash would count as one; at 10^10 words 3 such pairs are expected.
-
-Cases: null and empty texts have one token, the end; no training text: base counts are 0 and the tree is uniform; null ids and repeated
-rows are rows like others; ids come back as they were.
+"""Language-model scores: a probabilistic suffix tree over words, beside its root, a unigram base.
+
+Texts are lower-cased (A-Z); symbols are the words between ASCII white space, and one end for each text, which also stands before its
+first word. A context is the one, two, ... `DEPTH` symbols before a place, never from before the text. It is retained as a state if the
+distribution of what follows it diverges from that of its parent (the context without its first symbol) by more than chance does: the
+training symbols after it gain over `MIN_GAIN` nats against the parent's distribution when each is predicted from all the others
+(leave-one-out), so that sparse contexts, which always diverge by counts alone, do not pass. Only retained states are expanded. The
+next-symbol distribution of a state is smoothed by Witten and Bell towards its parent's: (count + kinds * parent) / (n + kinds), down to
+the root, (count + 1) / (N + V + 1). A text is scored from the state of the longest retained suffix of each place.
+
+Counts are of all training texts; there is no least share and no bound on states, which live in tables: batches of texts send each of their distinct words, and
+later each distinct pair of context and next symbol, once with its training count to a bucket chosen by its 64-bit hash; the bucket sends the
+totals back. Neither words nor states come to the driver, and none is joined with the documents that hold it, so frequent words are no hot
+keys. A context of over `hot` training places is dealt out over several buckets by its next symbols, which sum its test in parts; at
+most N / hot contexts are so, 100,000 at any size, and only their sums come to the driver. Two words of one hash would
+count as one; at 10^10 words 3 such pairs are expected. Next symbols within one context are told apart by 32 bits of their hash.
+
+Cases: null and empty texts have one token, the end; no training text: base counts are 0 and there is no state but the root; null ids and
+repeated rows are rows like others; ids come back as they were; bytes that are not UTF-8 count as the replacement character.
 """
 
 from __future__ import annotations
@@ -24,28 +28,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._common import forget, materialize
+from engram.llm._common import materialize, valid
 
-DEPTH = 4
-#: A state's contexts make at least this share of all symbols: at most DEPTH / MIN_SHARE states.
-MIN_SHARE = 4e-6
-#: Nats per symbol of the corpus that a state must save.
-MIN_GAIN = 1e-7
-PRIOR = 4.0
-BATCH_CHARS = 8_000_000
-BUCKET_DOCS = 8_192
-_RARE = 63
+DEPTH = 2
+#: Nats that a state must save on the training places that it stands for.
+MIN_GAIN = 8.0
+BATCH_BYTES = 8_000_000
+BUCKET_BYTES = 8_000_000
+#: Training places of a context from which it is dealt out over several buckets, at least.
+HOT = 1_000_000
+_END = xxhash.xxh64_intdigest(b" ", 0)  # no word holds a blank
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def groups(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Iterator[tuple[list, list[bytes], list[bool]]]:
+def groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, list[bytes], list[bool]]]:
     """(ids, lowered texts, training flags) of successive rows, of about `limit` bytes."""
     ids, texts, train, size = [], [], [], 0
     for batch in batches:
@@ -61,193 +66,237 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Itera
         yield ids, texts, train
 
 
-# ---- the tree
-
-
-def class_map(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each byte, and log10 of its share within the class (0 but for the rare ones)."""
-    order = np.lexsort((np.arange(256), -histogram))
-    classes = np.full(256, _RARE, dtype=np.uint8)
-    classes[order[: _RARE - 1]] = np.arange(1, _RARE, dtype=np.uint8)
-    rare = classes == _RARE
-    share = np.zeros(256)
-    weights = histogram[rare] + 1.0
-    share[rare] = np.log10(weights / weights.sum())
-    return classes, share
-
-
-def symbol_codes(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH classes and the next, for every byte and the end of every text; and where each text's codes begin."""
-    total = sum(map(len, texts)) + DEPTH * (len(texts) + 1)
-    s = np.zeros(total, dtype=np.uint32)
-    p, starts, keep = DEPTH, [], np.zeros(total, dtype=bool)
-    n = 0
-    for t in texts:
-        s[p : p + len(t)] = classes[np.frombuffer(t, dtype=np.uint8)]
-        keep[p : p + len(t) + 1] = True
-        starts.append(n)
-        n += len(t) + 1
-        p += len(t) + DEPTH
-    code = s.copy()
-    for k in range(1, DEPTH + 1):
-        code[k:] |= s[:-k] << np.uint32(6 * k)
-    return code[keep], np.array(starts, dtype=np.int64)
-
-
-class Tree:
-    """States with their next-class distributions, and the state of every context of DEPTH classes."""
-
-    def __init__(self, counts: list[dict[int, np.ndarray]], total: int, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN):
-        """counts: for each depth, context -> counts of the 64 next classes."""
-        self.contexts: list[tuple[int, int]] = [(0, 0)]
-        root = counts[0].get(0, np.zeros(64)) + PRIOR / 64
-        smooth: dict[tuple[int, int], np.ndarray] = {(0, 0): root / root.sum()}
-        kept: set[tuple[int, int]] = set()
-        for depth in range(1, DEPTH + 1):
-            mask = (1 << 6 * (depth - 1)) - 1
-            for ctx in sorted(counts[depth]):
-                c = counts[depth][ctx]
-                parent = smooth.get((depth - 1, ctx & mask))
-                if parent is None:
-                    continue
-                n = c.sum()
-                smooth[depth, ctx] = (c + PRIOR * parent) / (n + PRIOR)
-                p = c[c > 0] / n
-                gain = n * float((p * np.log(p / parent[c > 0])).sum())
-                if n >= min_share * total and gain >= max(min_gain * total, 8.0):
-                    kept.add((depth, ctx))
-        for depth, ctx in sorted(kept):  # the tree holds the suffixes of its states
-            for d in range(1, depth):
-                kept.add((d, ctx & ((1 << 6 * d) - 1)))
-        self.contexts += sorted(kept)
-        self.log = np.log10(np.array([smooth[x] for x in self.contexts])).astype(np.float32)
-
-    def table(self) -> np.ndarray:
-        lut = np.zeros(1, dtype=np.int32)
-        by_depth: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for state, (depth, ctx) in enumerate(self.contexts):
-            by_depth[depth].append((ctx, state))
-        for depth in range(1, DEPTH + 1):
-            lut = np.tile(lut, 64)
-            for ctx, state in by_depth[depth]:
-                lut[ctx] = state
-        return lut
-
-
-class Scorer:
-    def __init__(self, tree: Tree, classes: np.ndarray, share: np.ndarray):
-        self.log, self.lut, self.classes, self.share = tree.log, tree.table(), classes, share
-        self.any_rare = share != 0
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.empty(len(texts))
-        at = 0
-        while at < len(texts):  # about a megabyte at a time
-            end, size = at, 0
-            while end < len(texts) and (size < 1_000_000 or end == at):
-                size += len(texts[end])
-                end += 1
-            part = texts[at:end]
-            code, starts = symbol_codes(part, self.classes)
-            p = self.log[self.lut[code >> np.uint32(6)], code & np.uint32(63)].astype(np.float64)
-            out[at:end] = np.add.reduceat(p, starts)
-            for i, t in enumerate(part):
-                rare = self.share[np.frombuffer(t, dtype=np.uint8)]
-                out[at + i] += rare.sum()
-            at = end
-        return out
-
-
-def fit_tree(rows: DataFrame) -> tuple[Tree, np.ndarray, np.ndarray]:
-    """rows: (id, text, train)."""
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total += np.bincount(np.frombuffer(lowered(text.as_py() or ""), dtype=np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int64)), pa.array(total)], names=["byte", "n"])
-
-    train = rows.where("train")
-    seen = np.zeros(256)
-    for r in train.select("text").mapInArrow(histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        seen[r["byte"]] = r["n"]
-    classes, share = class_map(seen)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return codes, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-
-        for _, texts, _ in groups(batches, 4_000_000):
-            code, _ = symbol_codes(texts, classes)
-            held.append(np.unique(code, return_counts=True))
-            if sum(len(c) for c, _ in held) > 6_000_000:
-                held = [merged()]
-        if held:
-            codes, n = merged()
-            for at in range(0, len(codes), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 50_000].astype(np.int64)), pa.array(n[at : at + 50_000])], names=["code", "n"])
-
-    table = materialize(train.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "contexts")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    counts: list[dict[int, np.ndarray]] = []
-    for depth in range(DEPTH + 1):
-        ctx = F.shiftright("code", 6).bitwiseAND((1 << 6 * depth) - 1)
-        pairs = table.groupBy(ctx.alias("ctx"), F.col("code").bitwiseAND(63).alias("next")).agg(F.sum("n").alias("n"))
-        lists = pairs.groupBy("ctx").agg(F.sum("n").alias("all"), F.collect_list(F.struct("next", "n")).alias("next")).where(F.col("all") >= max(4, MIN_SHARE * total))
-        by: dict[int, np.ndarray] = {}
-        # at most 1 / MIN_SHARE contexts of 64 numbers at most
-        for r in lists.toLocalIterator():
-            row = np.zeros(64)
-            for x in r["next"]:
-                row[x["next"]] = x["n"]
-            by[r["ctx"]] = row
-        counts.append(by)
-    forget(table)
-    return Tree(counts, total), classes, share
-
-
-# ---- the base
-
-
-def _batch_rows(ids: list, texts: list[bytes], train: list[bool], scores: np.ndarray, batch: int, buckets: int) -> Iterator[dict]:
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of ordered pairs of hashes."""
+    x = (a ^ (a >> np.uint64(31))) * _ODD + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascends with the hash."""
+    return (hashes >> np.uint64(33)).astype(np.int64) * buckets >> 31
+
+
+def _pack(a: np.ndarray, kind: str) -> bytes:
+    return zstandard.compress(a.astype(kind).tobytes(), 1)
+
+
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
+class Pairs:
+    """The distinct pairs of context and next symbol of a batch, in the order in which buckets get them."""
+
+    def __init__(self, batch: Batch, places: np.ndarray, context: np.ndarray, n: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
+        """places: those of the batch whose context is asked for; context, n, parent: at those places its hash, training count and the
+        parent's log10 share of the symbol."""
+        self.places = places
+        word = batch.hashes[batch.symbols[places]]
+        self.gram, at, self.place_pair = np.unique(mix(context, word), return_index=True, return_inverse=True)
+        context, n, word = context[at], n[at], word[at]
+        parts = 1 + (n - 1) // hot  # of a hot context, by the next symbol
+        self.parts = parts
+        near = (word & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        part = np.where(parts > 1, near * parts >> 32, 0)
+        home = np.where(parts > 1, mix(context, part.astype(np.uint64)), context)
+        bucket = bucket_of(home, buckets)
+        order = np.lexsort((near, part, context, bucket))
+        self.order = order
+        self.bucket, self.context, self.n, self.next = bucket[order], context[order], n[order], near[order]
+        self.parent = parent[at][order].astype(np.float16)
+        learnt = np.bincount(self.place_pair, weights=batch.train[batch.doc[places]], minlength=len(order))
+        self.learnt = learnt.astype(np.int64)[order]
+        group = np.ones(len(order), dtype=bool)  # where a context, or part of one, begins
+        group[1:] = (np.diff(self.context) != 0) | (np.diff(self.bucket) != 0) | (np.diff(part[order]) != 0)
+        self.first = np.nonzero(group)[0]
+        self.group = np.cumsum(group) - 1
+
+    def rows(self, number: int) -> Iterator[dict]:
+        edges = np.concatenate([[0], np.nonzero(np.diff(self.bucket))[0] + 1, [len(self.bucket)]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b:
+                lo, hi = np.searchsorted(self.first, [a, b])
+                heads = self.first[lo:hi]
+                size = np.diff(np.append(heads, b))
+                yield {"batch": number, "bucket": int(self.bucket[a]), "context": self.context[heads].tobytes(), "n": _pack(self.n[heads], "<i8"), "size": _pack(size, "<i4"), "parts": _pack(self.parts[self.order][heads], "<i8"), "next": self.next[a:b].astype("<u4").tobytes(), "learnt": _pack(self.learnt[a:b], "<i8"), "parent": _pack(self.parent[a:b], "<f2")}
+
+    def heard(self, counts: np.ndarray, kinds: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """counts: of each pair in the order sent; kinds: of each context sent, those of its next symbols, or 0 if it is no state, or -1: look
+        among the hot ones. Returns for each place the pair's count and the context's kinds."""
+        kinds = kinds.copy()
+        for k in np.nonzero(kinds < 0)[0]:
+            kinds[k] = hot.get(int(self.context[self.first[k]].view(np.int64)), 0)
+        back = np.empty(len(self.order), dtype=np.int64)
+        back[self.order] = np.arange(len(self.order))
+        mine = back[self.place_pair]
+        return counts[mine], kinds[self.group[mine]]
+
+
+class Batch:
+    """A batch of texts as symbols, and what it has heard from the buckets so far."""
+
+    def __init__(self, row: dict):
+        hashes = np.frombuffer(row["hashes"], "<u8")  # by falling frequency in the batch
+        order = np.argsort(hashes, kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.hashes = hashes[order]
+        self.symbols = place[_unpack(row["symbols"], "<u2" if len(order) <= 65_536 else "<u4")]
+        self.sizes = np.frombuffer(row["sizes"], "<i8")
+        self.train = np.frombuffer(row["train"], np.int8) > 0
+        self.start = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.inside = np.arange(len(self.symbols)) - self.start[self.doc]
+
+    def root(self, counts: np.ndarray, tokens: int, kinds: int) -> None:
+        """counts: of each word of the batch, by its hash."""
+        self.count = counts[self.symbols]  # of the context of the next level that ends with the place's symbol
+        self.known = self.count > 0
+        self.base = np.log10(self.count + 1.0) - np.log10(tokens + kinds + 1.0)
+        self.share = self.base.copy()
+        self.gram = self.hashes[self.symbols]
+        end = np.searchsorted(self.hashes, np.uint64(_END))
+        self.before_count, self.before_gram = np.empty_like(self.count), np.empty_like(self.gram)
+        self._step()
+        self.before_count[self.start], self.before_gram[self.start] = counts[end], self.hashes[end]
+        self.open = np.ones(len(self.symbols), dtype=bool)  # places whose context of the level before was a state
+
+    def _step(self) -> None:
+        self.before_count[1:], self.before_gram[1:] = self.count[:-1], self.gram[:-1]
+
+    def ask(self, level: int, buckets: int, hot: int) -> Pairs:
+        places = np.nonzero(self.open & (self.inside >= level - 1) & (self.before_count >= 2))[0]
+        return Pairs(self, places, self.before_gram[places], self.before_count[places], self.share[places], buckets, hot)
+
+    def hear(self, asked: Pairs, counts: np.ndarray, kinds: np.ndarray, hot: dict[int, int]) -> None:
+        places = asked.places
+        c, t = asked.heard(counts, kinds, hot)
+        state = t > 0
+        at = places[state]
+        self.share[at] = np.log10((c[state] + t[state] * 10.0 ** self.share[at]) / (self.before_count[at] + t[state]))
+        self.open[:] = False
+        self.open[at] = True
+        self.count[:] = 0
+        self.count[places] = c
+        self.gram[places] = asked.gram[asked.place_pair]
+        self._step()
+        self.before_count[self.start] = 0
+
+    def by_text(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.start)
+
+
+def total_words(table: pa.Table) -> pa.Table:
+    """One bucket of words: their training counts back to each batch, and a row for the whole with kinds and tokens."""
+    parts = [np.frombuffer(x.as_py(), "<u8") for x in table["context"]]
+    learnt = np.concatenate([_unpack(x.as_py(), "<i8") for x in table["learnt"]])
+    words, at = np.unique(np.concatenate(parts), return_inverse=True)
+    sums = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.int64)
+    ends = np.cumsum([len(x) for x in parts])
+    back = [_pack(x, "<i8") for x in np.split(sums[at], ends[:-1])]
+    return _answers(table, back, [None] * len(parts), {"tokens": int(sums.sum()), "kinds": int((sums > 0).sum())})
+
+
+def total_pairs(table: pa.Table, min_gain: float) -> pa.Table:
+    """One bucket of pairs: counts back to each batch, and whether contexts are states (the number of kinds that follow, else 0)."""
+    heads = [np.frombuffer(x.as_py(), "<u8") for x in table["context"]]
+    sizes = [_unpack(x.as_py(), "<i4") for x in table["size"]]
+    n, parts = (np.concatenate([_unpack(x.as_py(), "<i8") for x in table[c]]) for c in ("n", "parts"))
+    head = np.concatenate(heads)
+    near = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["next"]])
+    learnt = np.concatenate([_unpack(x.as_py(), "<i8") for x in table["learnt"]])
+    parent = np.concatenate([_unpack(x.as_py(), "<f2") for x in table["parent"]])
+    # a hot context has several parts, which may meet in one bucket and are tested together then
+    contexts, first, of = np.unique(head, return_index=True, return_inverse=True)
+    of_pair = np.repeat(of, np.concatenate(sizes))
+    _, at, pair = np.unique(mix(contexts[of_pair], near.astype(np.uint64)), return_index=True, return_inverse=True)
+    c = np.bincount(pair, weights=learnt, minlength=len(at))
+    owner, known = of_pair[at], c > 0
+    kinds = np.bincount(owner[known], minlength=len(contexts))
+    n, parts = n[first].astype(np.float64), parts[first]
+    whole = np.where(parts > 1, kinds * parts, kinds).astype(np.float64)  # next symbols are dealt evenly to the parts
+    t, p, own = whole[owner[known]], 10.0 ** parent[at][known].astype(np.float64), n[owner[known]]
+    saved = c[known] * np.log(((c[known] - 1) + t * p) / ((own - 1 + t) * p))
+    gain = np.bincount(owner[known], weights=saved, minlength=len(contexts))
+    hot = parts > 1
+    answer = np.where(hot, -1, np.where(gain >= min_gain, kinds, 0))
+    back = [_pack(x, "<i8") for x in np.split(c[pair].astype(np.int64), np.cumsum([x.sum() for x in sizes])[:-1])]
+    told = [_pack(x, "<i8") for x in np.split(answer[of], np.cumsum([len(x) for x in heads])[:-1])]
+    more = {"kinds": int((answer > 0).sum()), "hot": contexts[hot].view(np.int64).tolist(), "hot_kinds": kinds[hot].tolist(), "hot_gain": gain[hot].tolist()}
+    return _answers(table, back, told, more)
+
+
+_ANSWER = "batch long, bucket int, counts binary, states binary, tokens long, kinds long, hot array<long>, hot_kinds array<long>, hot_gain array<double>"
+
+
+def _answers(table: pa.Table, counts: list, states: list, whole: dict) -> pa.Table:
+    n = len(counts)
+    last = lambda name, kind: pa.array([*[None] * n, whole.get(name)], kind)
+    return pa.table({
+        "batch": pa.array([*table["batch"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*table["bucket"].to_pylist(), -1], pa.int32()), "counts": pa.array([*counts, None], pa.binary()), "states": pa.array([*states, None], pa.binary()),
+        "tokens": last("tokens", pa.int64()), "kinds": last("kinds", pa.int64()), "hot": last("hot", pa.list_(pa.int64())), "hot_kinds": last("hot_kinds", pa.list_(pa.int64())), "hot_gain": last("hot_gain", pa.list_(pa.float64())),
+    })
+
+
+_ASKED = "batch long, bucket int, context binary, n binary, size binary, parts binary, next binary, learnt binary, parent binary"
+_ASKED_ARROW = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("context", "n", "size", "parts", "next", "learnt", "parent"))])
+
+
+class Rules:
+    """What every step needs to know of the whole corpus."""
+
+    def __init__(self, buckets: int, hot: int, min_gain: float):
+        self.buckets, self.hot, self.min_gain = buckets, hot, min_gain
+        self.tokens = self.kinds = 0
+        self.hot_states: list[dict[int, int]] = []  # for each level the hot contexts that are states, and the kinds that follow
+
+    def replay(self, row: dict, answers: pa.Table) -> Batch:
+        """The batch after all levels that `answers` hold."""
+        batch = Batch(row)
+        by = defaultdict(list)
+        for level, bucket, counts, states in zip(*(answers[c].to_pylist() for c in ("level", "bucket", "counts", "states")), strict=True):
+            by[level].append((bucket, counts, states))
+        join = lambda level, k: np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(x[k], "<i8") for x in sorted(by[level], key=lambda x: x[0]))])
+        batch.root(join(0, 1), self.tokens, self.kinds)
+        for level in range(1, len(self.hot_states) + 1):
+            batch.hear(batch.ask(level, self.buckets, self.hot), join(level, 1), join(level, 2), self.hot_states[level - 1])
+        return batch
+
+
+def _batch_rows(ids: list, texts: list[bytes], train: list[bool], number: int, buckets: int) -> Iterator[dict]:
     local: defaultdict = defaultdict(itertools.count().__next__)
-    found = [np.fromiter(map(local.__getitem__, t.split()), dtype=np.int64) for t in texts]
+    end = local[b" "]
+    found = [np.fromiter(itertools.chain(map(local.__getitem__, t.split()), (end,)), dtype=np.int64) for t in texts]
     sizes = np.array([len(f) for f in found])
-    flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+    symbols = np.concatenate(found)
     hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in local), dtype=np.uint64, count=len(local))
+    often = np.argsort(-np.bincount(symbols, minlength=len(hashes)), kind="stable")
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[often] = np.arange(len(often))
+    flags = np.array(train, dtype=np.int8)
+    yield {"batch": number, "bucket": -1, "ids": ids, "sizes": sizes.astype("<i8").tobytes(), "train": flags.tobytes(), "hashes": hashes[often].tobytes(), "symbols": _pack(rank[symbols], "<u2" if len(hashes) <= 65_536 else "<u4")}
+    learnt = np.bincount(symbols[np.repeat(flags > 0, sizes)], minlength=len(hashes))
     order = np.argsort(hashes, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    hashes, flat = hashes[order], place[flat]
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    learnt = np.bincount(flat[np.array(train, dtype=bool)[doc]], minlength=len(hashes)) if len(flat) else np.zeros(len(hashes), dtype=np.int64)
-    key, tf = np.unique(doc * max(1, len(hashes)) + flat, return_counts=True)
-    yield {"batch": batch, "bucket": -1, "ids": ids, "words": sizes.astype("<i8").tobytes(), "train": np.array(train, dtype=np.int8).tobytes(), "doc": (key // max(1, len(hashes))).astype("<i4").tobytes(), "idx": (key % max(1, len(hashes))).astype("<i4").tobytes(), "tf": tf.astype("<i4").tobytes(), "score": scores.astype("<f8").tobytes()}
-    bucket = (hashes >> np.uint64(33)).astype(np.int64) * buckets >> 31  # ascends with the hash
+    hashes, learnt = hashes[order], learnt[order]
+    bucket = bucket_of(hashes, buckets)
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         lo, hi = edges[b], edges[b + 1]
-        yield {"batch": batch, "bucket": b, "hashes": hashes[lo:hi].astype("<u8").tobytes(), "learnt": learnt[lo:hi].astype("<i8").tobytes()}
+        yield {"batch": number, "bucket": b, "context": hashes[lo:hi].tobytes(), "learnt": _pack(learnt[lo:hi], "<i8")}
 
 
-def score(df: DataFrame, id_col: str, text_col: str, is_train: Column) -> DataFrame:
+def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: int = DEPTH, min_gain: float = MIN_GAIN, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each row of df: id, train, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train"))
-    n_docs, n_train = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
-    buckets = max(1, -(-n_docs // BUCKET_DOCS))
-    shared = spark.sparkContext.broadcast(fit_tree(rows))
-    names = "batch long, bucket int, hashes binary, learnt binary, words binary, train binary, doc binary, idx binary, tf binary, score binary"
-    schema = f"{names}, ids array<{kind}>"
-    arrow = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("hashes", "learnt", "words", "train", "doc", "idx", "tf", "score"))])
+    rows = df.select(F.col(id_col).alias("id"), valid(F.col(text_col)).alias("text"), F.coalesce(is_train, F.lit(False)).alias("train"))
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0))).first()[0]
+    rules = Rules(max(1, -(-size // bucket_bytes)), hot, min_gain)
+    arrow = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("context", "learnt", "sizes", "train", "hashes", "symbols"))])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, part, id_type = None, TaskContext.get().partitionId(), None
+        part, id_type = TaskContext.get().partitionId(), None
 
         def typed(stream):
             nonlocal id_type
@@ -255,50 +304,48 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column) -> DataFr
                 id_type = b.schema.field(0).type
                 yield b
 
-        for k, (ids, texts, train) in enumerate(groups(typed(batches))):
-            scorer = scorer or Scorer(*shared.value)
-            made = list(_batch_rows(ids, texts, train, scorer.scores(texts), (part << 24) | k, buckets))
+        for k, group in enumerate(groups(typed(batches), batch_bytes)):
+            made = list(_batch_rows(*group, (part << 24) | k, rules.buckets))
             columns = [pa.array([r.get(f.name) for r in made], f.type) for f in arrow]
             columns.append(pa.array([r.get("ids") for r in made], pa.list_(id_type)))
             yield pa.RecordBatch.from_arrays(columns, names=[*arrow.names, "ids"])
 
-    sent = materialize(rows.mapInArrow(send, schema), "batches")
-
-    def total(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), "<u8") for x in table["hashes"]]
-        learnt = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table["learnt"]])
-        words, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(at, weights=learnt, minlength=len(words)).astype("<i8")
-        back, p = [], 0
-        for x in parts:
-            back.append(sums[at[p : p + len(x)]].tobytes())
-            p += len(x)
-        n = len(parts)
-        return pa.table({"batch": pa.array([*table["batch"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*table["bucket"].to_pylist(), -1], pa.int32()), "sums": pa.array([*back, None], pa.binary()), "kinds": pa.array([0] * n + [int((sums > 0).sum())], pa.int64()), "tokens": pa.array([0] * n + [int(sums.sum())], pa.int64())})
-
-    answers = materialize(sent.where("bucket >= 0").select("bucket", "batch", "hashes", "learnt").groupBy("bucket").applyInArrow(total, "batch long, bucket int, sums binary, kinds long, tokens long"), "totals")
-    kinds, tokens = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    kinds, tokens = kinds + (1 if n_train else 0), tokens + n_train
-    all_log = float(np.log10(tokens + kinds + 1))
-
-    def finish(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        by = sorted(zip(sums["bucket"].to_pylist(), sums["sums"].to_pylist(), strict=True))
-        c = np.concatenate([np.frombuffer(b, "<i8") for _, b in by]) if by else np.zeros(0, dtype=np.int64)
-        out: dict[str, list] = {n: [] for n in ("id", "train", "n_tokens", "n_known", "base_score", "score")}
-        for r in docs.to_pylist():
-            words = np.frombuffer(r["words"], "<i8")
-            doc, idx, tf = (np.frombuffer(r[x], "<i4") for x in ("doc", "idx", "tf"))
-            logs = np.bincount(doc, weights=tf * np.log10(c[idx] + 1.0), minlength=len(words)) if len(doc) else np.zeros(len(words))
-            known = np.bincount(doc, weights=tf * (c[idx] > 0), minlength=len(words)) if len(doc) else np.zeros(len(words))
-            out["id"] += r["ids"]
-            out["train"] += (np.frombuffer(r["train"], np.int8) > 0).tolist()
-            out["n_tokens"] += (words + 1).tolist()
-            out["n_known"] += (known + (1 if n_train else 0)).astype(np.int64).tolist()
-            out["base_score"] += (logs + np.log10(n_train + 1.0) - (words + 1) * all_log).tolist()
-            out["score"] += np.frombuffer(r["score"], "<f8").tolist()
-        return pa.table({"id": pa.array(out["id"], docs["ids"].type.value_type)} | {k: pa.array(out[k], t) for k, t in (("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-
-    left = sent.where("bucket < 0").select("batch", "ids", "words", "train", "doc", "idx", "tf", "score")
-    right = answers.where("batch >= 0").select("batch", "bucket", "sums")
-    done = left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(finish, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sent = materialize(rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>"), "batches")
+    docs = sent.where("bucket < 0").select("batch", "ids", "sizes", "train", "hashes", "symbols")
+    words = materialize(sent.where("bucket >= 0").select("batch", "bucket", "context", "learnt").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
+    rules.tokens, rules.kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    rules.hot = max(hot, rules.tokens // 100_000)
+    told = lambda answers, level: answers.where("batch >= 0").select("batch", F.lit(level).alias("level"), "bucket", "counts", "states")
+    heard = told(words, 0)
+
+    def ask(level: int):
+        def step(table: pa.Table, answers: pa.Table) -> pa.Table:
+            made = []
+            for row in table.to_pylist():
+                batch = rules.replay(row, answers)
+                made += batch.ask(level, rules.buckets, rules.hot).rows(row["batch"])
+            return pa.Table.from_pylist(made, _ASKED_ARROW)
+
+        return step
+
+    for level in range(1, depth + 1):
+        asked = docs.drop("ids").groupBy("batch").cogroup(heard.groupBy("batch")).applyInArrow(ask(level), _ASKED)
+        found = materialize(asked.groupBy("bucket").applyInArrow(lambda t: total_pairs(t, min_gain), _ANSWER), "pairs")
+        sums = found.where("batch < 0 and size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_kinds", "hot_gain")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_kinds").alias("kinds"), F.sum("h.hot_gain").alias("gain"))
+        rules.hot_states.append({r["hot"]: r["kinds"] for r in sums.where(F.col("gain") >= min_gain).collect()})  # at most N / hot rows
+        heard = heard.unionByName(told(found, level))
+        if not rules.hot_states[-1] and not found.where("batch < 0 and kinds > 0").limit(1).count():
+            break  # no state to expand
+
+    def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {n: [] for n in ("train", "n_tokens", "n_known", "base_score", "score")}
+        ids: list = []
+        for row in table.to_pylist():
+            batch = rules.replay(row | {"ids": None}, answers)
+            ids += row["ids"]
+            for name, x in (("train", batch.train), ("n_tokens", batch.sizes), ("n_known", batch.by_text(batch.known.astype(np.int64))), ("base_score", batch.by_text(batch.base)), ("score", batch.by_text(batch.share))):
+                out[name].append(x)
+        return pa.table({"id": pa.array(ids, table["ids"].type.value_type)} | {n: pa.array(np.concatenate(x)) for n, x in out.items()})
+
+    done = docs.groupBy("batch").cogroup(heard.groupBy("batch")).applyInArrow(finish, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(rules.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -440,24 +440,59 @@ def test_lm_base_is_exact(spark, odd, empty):
     assert lm_score.score(odd, "doc_id", "text", F.lit(False)).where("n_known > 0 or train_tokens > 0").count() == 0
 
 
-def test_tree_is_a_distribution_and_learns(spark):
-    texts = ["abab cdcd " * 20, "the then this " * 20] * 10
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("train", F.lit(True))
-    tree, classes, share = lm_score.fit_tree(df)
-    assert len(tree.contexts) > 5 and np.allclose((10.0**tree.log).sum(axis=1), 1, atol=1e-4)
-    s = lm_score.Scorer(tree, classes, share)
-    seen, strange = s.scores([b"the then this the then this"]), s.scores([b"zq xk wv jj qq zz pp yy rr ff"])
-    assert seen[0] > strange[0]
-    # from brute force: the longest kept suffix of each place
-    text, kept = b"abab the", {x: k for k, x in enumerate(tree.contexts)}
-    symbols, total = [0] * 4 + [int(classes[b]) for b in text] + [0], 0.0
-    for p in range(4, len(symbols)):
-        state = max((d, kept[d, sum(symbols[p - 1 - i] << 6 * i for i in range(d))]) for d in range(5) if (d, sum(symbols[p - 1 - i] << 6 * i for i in range(d))) in kept)[1]
-        total += float(tree.log[state, symbols[p]])
-    total += sum(share[b] for b in text)
-    assert s.scores([text])[0] == pytest.approx(total, abs=1e-4)
-    batch = s.scores([text, b"", b"x"])
-    assert batch[0] == pytest.approx(total, abs=1e-4) and batch[1] == pytest.approx(s.scores([b""])[0])
+def tree_by_hand(texts, train, depth, min_gain):
+    """log10 share of every text by the tree, from counts of whole contexts."""
+    lines = [[None, *t.lower().split(), None] for t in texts]  # the end also begins
+    counts = collections.defaultdict(collections.Counter)
+    for line, t in zip(lines, train, strict=True):
+        for i in range(1, len(line)):
+            for d in range(min(depth, i) + 1):
+                counts[tuple(line[i - d : i])][line[i]] += t
+    root = counts[()]
+    n, v = sum(root.values()), sum(c > 0 for c in root.values())
+
+    def share(ctx, x):
+        if not ctx:
+            return (root[x] + 1) / (n + v + 1)
+        up = share(ctx[1:], x)
+        return (counts[ctx][x] + kinds(ctx) * up) / (sum(counts[ctx].values()) + kinds(ctx)) if state(ctx) else up
+
+    def kinds(ctx):
+        return sum(c > 0 for c in counts[ctx].values())
+
+    memo = {}
+
+    def state(ctx):
+        if ctx not in memo:
+            total, t = sum(counts[ctx].values()), kinds(ctx)
+            saved = sum(c * math.log((c - 1 + t * p) / ((total - 1 + t) * p)) for x, c in counts[ctx].items() if c > 0 for p in [share(ctx[1:], x)])
+            memo[ctx] = total >= 2 and saved >= min_gain and (len(ctx) == 1 or state(ctx[1:]))
+        return memo[ctx]
+
+    return [sum(math.log10(share(tuple(line[max(0, i - depth) : i]), line[i])) for i in range(1, len(line))) for line in lines], sum(map(state, [c for c in counts if c]))
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 40])
+def test_tree_is_brute_force(spark, hot):
+    import random
+
+    r = random.Random(12)
+    lines = ["the cat sat on the mat and ate", "a dog lay by the door and slept", "no bird sang in that tall tree"]
+    texts = [" ".join(" ".join(r.choice(lines).split()[r.randint(0, 3) :]) + r.choice(["", " x", f" y{k % 7}"]) for _ in range(r.randint(0, 6))) for k in range(90)]
+    train = [k % 4 != 0 for k in range(90)]
+    df = spark.createDataFrame(list(zip(range(90), texts, train, strict=True)), "doc_id long, text string, t boolean").repartition(3)
+    got = {x.doc_id: x.score for x in lm_score.score(df, "doc_id", "text", F.col("t"), depth=3, batch_bytes=900, bucket_bytes=700, hot=hot).collect()}
+    want, states = tree_by_hand(texts, train, 3, lm_score.MIN_GAIN)
+    assert states > 20
+    if hot > 1000:  # contexts that are dealt out are tested by an estimate of their kinds
+        assert got == pytest.approx(dict(enumerate(want)), abs=1e-3)
+    else:
+        assert np.mean([abs(got[k] - want[k]) < 1e-3 for k in got]) > 0.5 and sum(got.values()) == pytest.approx(sum(want), rel=0.1)
+
+
+def test_tree_beats_its_root_on_held_out_texts(spark):
+    rows = queries.op9_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.2 * sum(r.n_tokens for r in rows)
 
 
 # ---- decontamination
