@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +61,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """As materialize(), in files by the hash of a column: later groupings by it do not move the table."""
+    spark = df.sparkSession
+    path, n = scratch_path(spark, tag), max(1, min(buckets, 50_000))
+    name = f"engram_{path.rsplit('-', 1)[1]}"
+    df.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results are written: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete scratch tables made by materialize() that nothing will read again."""
     for df in frames:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._common import materialize, valid
+from engram.llm._common import bucketed, materialize, release, valid
 
 DEPTH = 2
 #: Nats that a state must save on the training places that it stands for.
@@ -87,51 +87,58 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 
 class Pairs:
-    """The distinct pairs of context and next symbol of a batch, in the order in which buckets get them."""
+    """The distinct pairs of context and next symbol of a batch: by number, and in the order in which buckets get them."""
 
-    def __init__(self, batch: Batch, places: np.ndarray, context: np.ndarray, n: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
-        """places: those of the batch whose context is asked for; context, n, parent: at those places its hash, training count and the
-        parent's log10 share of the symbol."""
+    def __init__(self, batch: Batch, places: np.ndarray, buckets: int, hot: int):
+        """places: those of the batch whose context is asked for."""
         self.places = places
-        word = batch.hashes[batch.symbols[places]]
-        self.gram, at, self.place_pair = np.unique(mix(context, word), return_index=True, return_inverse=True)
-        context, n, word = context[at], n[at], word[at]
-        parts = 1 + (n - 1) // hot  # of a hot context, by the next symbol
-        self.parts = parts
-        near = (word & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        part = np.where(parts > 1, near * parts >> 32, 0)
-        home = np.where(parts > 1, mix(context, part.astype(np.uint64)), context)
-        bucket = bucket_of(home, buckets)
-        order = np.lexsort((near, part, context, bucket))
-        self.order = order
-        self.bucket, self.context, self.n, self.next = bucket[order], context[order], n[order], near[order]
-        self.parent = parent[at][order].astype(np.float16)
-        learnt = np.bincount(self.place_pair, weights=batch.train[batch.doc[places]], minlength=len(order))
-        self.learnt = learnt.astype(np.int64)[order]
-        group = np.ones(len(order), dtype=bool)  # where a context, or part of one, begins
-        group[1:] = (np.diff(self.context) != 0) | (np.diff(self.bucket) != 0) | (np.diff(part[order]) != 0)
-        self.first = np.nonzero(group)[0]
-        self.group = np.cumsum(group) - 1
+        context, symbol = batch.before[places], batch.symbols[places]
+        key = context.astype(np.int64) * len(batch.hashes) + symbol
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = key[1:] != key[:-1]
+        self.number = np.empty(len(key), dtype=np.int32)  # of the pair at each of the places
+        self.number[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        at = order[fresh]
+        del key, order
+        context, word = batch.grams[context[at]], batch.hashes[symbol[at]]
+        n, parent = batch.before_count[places[at]], batch.share[places[at]]
+        self.n, self.parent, self.gram = n, parent, mix(context, word)
+        learnt = np.bincount(self.number, weights=batch.learnt[places], minlength=len(at)).astype(np.int64)
+        near, parts = word.astype(np.uint32), 1 + (n - 1) // hot  # a hot context is dealt out by the next symbol
+        bucket = bucket_of(context, buckets)
+        many = np.nonzero(parts > 1)[0]
+        if len(many):
+            part = near[many].astype(np.int64) * parts[many] >> 32
+            bucket[many] = bucket_of(mix(context[many], part.astype(np.uint64)), buckets)
+        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 65_536 else bucket, kind="stable")
+        take = lambda x: x[self.order]
+        self.bucket, self.context, self.sent = take(bucket), take(context), {"n": take(n), "parts": take(parts), "next": take(near), "learnt": take(learnt), "parent": take(parent).astype(np.float16)}
+        begins = np.ones(len(at), dtype=bool)
+        begins[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.first = np.nonzero(begins)[0]
+        self.group = np.cumsum(begins) - 1
 
     def rows(self, number: int) -> Iterator[dict]:
         edges = np.concatenate([[0], np.nonzero(np.diff(self.bucket))[0] + 1, [len(self.bucket)]])
+        sent = self.sent
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a < b:
                 lo, hi = np.searchsorted(self.first, [a, b])
                 heads = self.first[lo:hi]
                 size = np.diff(np.append(heads, b))
-                yield {"batch": number, "bucket": int(self.bucket[a]), "context": self.context[heads].tobytes(), "n": _pack(self.n[heads], "<i8"), "size": _pack(size, "<i4"), "parts": _pack(self.parts[self.order][heads], "<i8"), "next": self.next[a:b].astype("<u4").tobytes(), "learnt": _pack(self.learnt[a:b], "<i8"), "parent": _pack(self.parent[a:b], "<f2")}
+                yield {"batch": number, "bucket": int(self.bucket[a]), "context": self.context[heads].tobytes(), "n": _pack(sent["n"][heads], "<i8"), "size": _pack(size, "<i4"), "parts": _pack(sent["parts"][heads], "<i8"), "next": sent["next"][a:b].tobytes(), "learnt": _pack(sent["learnt"][a:b], "<i8"), "parent": _pack(sent["parent"][a:b], "<f2")}
 
     def heard(self, counts: np.ndarray, kinds: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """counts: of each pair in the order sent; kinds: of each context sent, those of its next symbols, or 0 if it is no state, or -1: look
-        among the hot ones. Returns for each place the pair's count and the context's kinds."""
+        among the hot ones. Returns for each pair its count and its context's kinds."""
         kinds = kinds.copy()
         for k in np.nonzero(kinds < 0)[0]:
             kinds[k] = hot.get(int(self.context[self.first[k]].view(np.int64)), 0)
-        back = np.empty(len(self.order), dtype=np.int64)
-        back[self.order] = np.arange(len(self.order))
-        mine = back[self.place_pair]
-        return counts[mine], kinds[self.group[mine]]
+        c, t = np.empty(len(self.order), dtype=np.int64), np.empty(len(self.order), dtype=np.int64)
+        c[self.order], t[self.order] = counts, kinds[self.group]
+        return c, t
 
 
 class Batch:
@@ -140,49 +147,46 @@ class Batch:
     def __init__(self, row: dict):
         hashes = np.frombuffer(row["hashes"], "<u8")  # by falling frequency in the batch
         order = np.argsort(hashes, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.hashes = hashes[order]
         self.symbols = place[_unpack(row["symbols"], "<u2" if len(order) <= 65_536 else "<u4")]
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.train = np.frombuffer(row["train"], np.int8) > 0
         self.start = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.inside = np.arange(len(self.symbols)) - self.start[self.doc]
+        self.learnt = np.repeat(self.train, self.sizes)
+        self.inside = (np.arange(len(self.symbols)) - np.repeat(self.start, self.sizes)).astype(np.int32)
 
     def root(self, counts: np.ndarray, tokens: int, kinds: int) -> None:
         """counts: of each word of the batch, by its hash."""
-        self.count = counts[self.symbols]  # of the context of the next level that ends with the place's symbol
-        self.known = self.count > 0
-        self.base = np.log10(self.count + 1.0) - np.log10(tokens + kinds + 1.0)
+        count = counts[self.symbols]
+        self.known = count > 0
+        self.base = (np.log10(counts + 1.0) - np.log10(tokens + kinds + 1.0))[self.symbols]
         self.share = self.base.copy()
-        self.gram = self.hashes[self.symbols]
+        self.grams = self.hashes  # by number
+        self._before(self.symbols, count)
         end = np.searchsorted(self.hashes, np.uint64(_END))
-        self.before_count, self.before_gram = np.empty_like(self.count), np.empty_like(self.gram)
-        self._step()
-        self.before_count[self.start], self.before_gram[self.start] = counts[end], self.hashes[end]
+        self.before[self.start], self.before_count[self.start] = end, counts[end]
         self.open = np.ones(len(self.symbols), dtype=bool)  # places whose context of the level before was a state
 
-    def _step(self) -> None:
-        self.before_count[1:], self.before_gram[1:] = self.count[:-1], self.gram[:-1]
+    def _before(self, number: np.ndarray, count: np.ndarray) -> None:
+        """For each place the number and the training count of its next context, which is what ends at the place before."""
+        self.before, self.before_count = np.roll(number, 1), np.roll(count, 1)
+        self.before_count[self.start] = 0
 
     def ask(self, level: int, buckets: int, hot: int) -> Pairs:
-        places = np.nonzero(self.open & (self.inside >= level - 1) & (self.before_count >= 2))[0]
-        return Pairs(self, places, self.before_gram[places], self.before_count[places], self.share[places], buckets, hot)
+        return Pairs(self, np.nonzero(self.open & (self.inside >= level - 1) & (self.before_count >= 2))[0], buckets, hot)
 
     def hear(self, asked: Pairs, counts: np.ndarray, kinds: np.ndarray, hot: dict[int, int]) -> None:
-        places = asked.places
         c, t = asked.heard(counts, kinds, hot)
-        state = t > 0
-        at = places[state]
-        self.share[at] = np.log10((c[state] + t[state] * 10.0 ** self.share[at]) / (self.before_count[at] + t[state]))
+        share = np.where(t > 0, np.log10((c + t * 10.0**asked.parent) / (asked.n + np.maximum(t, 1)) + (t == 0)), asked.parent)
+        self.share[asked.places] = share[asked.number]
         self.open[:] = False
-        self.open[at] = True
-        self.count[:] = 0
-        self.count[places] = c
-        self.gram[places] = asked.gram[asked.place_pair]
-        self._step()
-        self.before_count[self.start] = 0
+        self.open[asked.places] = (t > 0)[asked.number]
+        number, count = np.zeros(len(self.symbols), dtype=np.int32), np.zeros(len(self.symbols), dtype=np.int64)
+        number[asked.places], count[asked.places] = asked.number, c[asked.number]
+        self.grams = asked.gram
+        self._before(number, count)
 
     def by_text(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.start)
@@ -310,9 +314,11 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: in
             columns.append(pa.array([r.get("ids") for r in made], pa.list_(id_type)))
             yield pa.RecordBatch.from_arrays(columns, names=[*arrow.names, "ids"])
 
-    sent = materialize(rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>"), "batches")
+    # batches lie in files by their number, so that answers come to them and they are not moved
+    sent = bucketed(rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>"), "batches", "batch", rules.buckets)
     docs = sent.where("bucket < 0").select("batch", "ids", "sizes", "train", "hashes", "symbols")
     words = materialize(sent.where("bucket >= 0").select("batch", "bucket", "context", "learnt").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
+    release(rows.sparkSession)
     rules.tokens, rules.kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     rules.hot = max(hot, rules.tokens // 100_000)
     told = lambda answers, level: answers.where("batch >= 0").select("batch", F.lit(level).alias("level"), "bucket", "counts", "states")
@@ -331,6 +337,7 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: in
     for level in range(1, depth + 1):
         asked = docs.drop("ids").groupBy("batch").cogroup(heard.groupBy("batch")).applyInArrow(ask(level), _ASKED)
         found = materialize(asked.groupBy("bucket").applyInArrow(lambda t: total_pairs(t, min_gain), _ANSWER), "pairs")
+        release(rows.sparkSession)
         sums = found.where("batch < 0 and size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_kinds", "hot_gain")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_kinds").alias("kinds"), F.sum("h.hot_gain").alias("gain"))
         rules.hot_states.append({r["hot"]: r["kinds"] for r in sums.where(F.col("gain") >= min_gain).collect()})  # at most N / hot rows
         heard = heard.unionByName(told(found, level))
