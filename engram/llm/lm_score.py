@@ -38,7 +38,7 @@ from engram.llm._common import bucketed, materialize, release, valid
 DEPTH = 2
 #: Nats that a state must save on the training places that it stands for.
 MIN_GAIN = 8.0
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 5_000_000
 BUCKET_BYTES = 8_000_000
 #: Training places of a context from which it is dealt out over several buckets, at least.
 HOT = 1_000_000
@@ -92,36 +92,42 @@ class Pairs:
     def __init__(self, batch: Batch, places: np.ndarray, buckets: int, hot: int):
         """places: those of the batch whose context is asked for."""
         self.places = places
-        context, symbol = batch.before[places], batch.symbols[places]
-        key = context.astype(np.int64) * len(batch.hashes) + symbol
+        symbol = batch.symbols[places]
+        key = batch.before[places].astype(np.int64) * len(batch.hashes) + symbol
         order = np.argsort(key)
         key = key[order]
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = key[1:] != key[:-1]
-        self.number = np.empty(len(key), dtype=np.int32)  # of the pair at each of the places
+        del key
+        self.number = np.empty(len(order), dtype=np.int32)  # of the pair at each of the places
         self.number[order] = np.cumsum(fresh, dtype=np.int32) - 1
         at = order[fresh]
-        del key, order
-        context, word = batch.grams[context[at]], batch.hashes[symbol[at]]
-        n, parent = batch.before_count[places[at]], batch.share[places[at]]
-        self.n, self.parent, self.gram = n, parent, mix(context, word)
-        learnt = np.bincount(self.number, weights=batch.learnt[places], minlength=len(at)).astype(np.int64)
-        near, parts = word.astype(np.uint32), 1 + (n - 1) // hot  # a hot context is dealt out by the next symbol
+        del order, fresh
+        word, at_place = batch.hashes[symbol[at]], places[at]
+        del symbol, at
+        context = batch.grams[batch.before[at_place]]
+        self.n, self.parent, self.gram = batch.before_count[at_place], batch.share[at_place], mix(context, word)
+        near = word.astype(np.uint32)
+        del word, at_place
+        parts = (1 + (self.n - 1) // hot).astype(np.int32)  # a hot context is dealt out by the next symbol
         bucket = bucket_of(context, buckets)
         many = np.nonzero(parts > 1)[0]
         if len(many):
             part = near[many].astype(np.int64) * parts[many] >> 32
             bucket[many] = bucket_of(mix(context[many], part.astype(np.uint64)), buckets)
-        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 65_536 else bucket, kind="stable")
-        take = lambda x: x[self.order]
-        self.bucket, self.context, self.sent = take(bucket), take(context), {"n": take(n), "parts": take(parts), "next": take(near), "learnt": take(learnt), "parent": take(parent).astype(np.float16)}
-        begins = np.ones(len(at), dtype=bool)
+        bucket = bucket.astype(np.uint16 if buckets < 65_536 else np.int64)
+        self.order = np.argsort(bucket, kind="stable").astype(np.int32)
+        self.bucket, self.context = bucket[self.order], context[self.order]
+        del bucket, context
+        self.sent = {"n": self.n[self.order], "parts": parts[self.order], "next": near[self.order], "parent": self.parent.astype(np.float16)[self.order]}
+        self.sent["learnt"] = np.bincount(self.number[batch.learnt[places]], minlength=len(self.order)).astype(np.int32)[self.order]
+        begins = np.ones(len(self.order), dtype=bool)
         begins[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         self.first = np.nonzero(begins)[0]
-        self.group = np.cumsum(begins) - 1
+        self.group = np.cumsum(begins, dtype=np.int32) - 1
 
     def rows(self, number: int) -> Iterator[dict]:
-        edges = np.concatenate([[0], np.nonzero(np.diff(self.bucket))[0] + 1, [len(self.bucket)]])
+        edges = np.concatenate([[0], np.nonzero(self.bucket[1:] != self.bucket[:-1])[0] + 1, [len(self.bucket)]])
         sent = self.sent
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a < b:
