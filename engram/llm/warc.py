@@ -7,8 +7,11 @@ record; files are written by any number of tasks to any store that Spark writes.
 Reading: the text reader splits files at the magic "WARC/1.", wherever it occurs, also inside payloads and at any block
 boundary. Tasks emit for each occurrence the offset within its block, and where its header can be parsed the offset of the record
 that would follow. Prefix sums over blocks make offsets in the file. Then pointers are doubled: after k rounds the first 2**k
-records from the start of each file are known, and an occurrence that the chain never reaches is payload. A record whose payload
-holds the magic is put together again from its pieces.
+records from the start of each file are known, and an occurrence that the chain never reaches is payload. The chain tables are joined by
+merging, as they compress so well that their size in files says little of their size in memory. A record whose payload holds the
+magic is put together again from the pieces of its file, which are read once more, with offsets of their own, so it does not
+matter whether Spark then splits the file elsewhere; pieces meet their record by 64 kB stretches of the file, not by the file.
+Every record that the chain reaches is returned, or the read fails.
 
 Cases: null payload is empty; null url is empty, line breaks in it are dropped; null ids are written as "null" and read as null, and
 never are the smallest if others exist; rows that repeat the smallest id of a payload are responses all; empty tables give
@@ -144,50 +147,64 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files under path, one row each: file, offset, kind, record_id, uri, refers_to, said_digest, said_bytes, bytes and
     digest of the payload in the file (that of a revisit is empty)."""
     pieces = materialize(_scan(spark, path).mapInArrow(_pieces, _PIECES), "pieces")
-    # where a block's first piece begins: what the blocks before it hold
-    held = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("held"))
-    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
-    base = materialize(held.select("file", "split", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base")), "blocks")
-    # the first piece of a file stands before any magic
-    placed = materialize(pieces.join(base, ["file", "split"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC)).where("off >= 0"), "placed")
+    placed = materialize(_placed(pieces), "placed")
     follow = F.col("off") + len(MAGIC) + F.col("head") + F.col("length") + len(END)
     reached = _reach(placed.where("head is not null").select("file", "off", follow.alias("next")))
-    records = placed.join(reached, ["file", "off"])
+    records = placed.join(reached.hint("merge"), ["file", "off"])
     fields = ["file", "off", "kind", "record_id", "uri", "refers_to", "said_digest", "said_bytes", "bytes", "digest"]
     whole = records.where("bytes is not null").select(fields)
     broken = materialize(records.where("bytes is null").select("file", "off", follow.alias("next"), "head", "length", "content_type", "kind", "record_id", "uri", "refers_to", "said_digest", "said_bytes"), "broken")
     forget(pieces)
     if not broken.limit(1).count():
         return whole
-    return whole.unionByName(_join_pieces(spark, path, placed, base, broken).select(fields))
+    return whole.unionByName(_join_pieces(spark, path, broken).select(fields))
 
 
 def _reach(links: DataFrame) -> DataFrame:
     """(file, off) of the records that the chain from offset 0 reaches, by pointer doubling."""
     known = links.select("file", F.col("off").alias("next"), F.lit(True).alias("there"))
-    now = materialize(links.join(known, ["file", "next"], "left").select("file", "off", F.when(F.col("there"), F.col("next")).alias("jump"), (F.col("off") == 0).alias("reached")), "chain")
+    now = materialize(links.join(known.hint("merge"), ["file", "next"], "left").select("file", "off", F.when(F.col("there"), F.col("next")).alias("jump"), (F.col("off") == 0).alias("reached")), "chain")
     while now.where("reached and jump is not null").limit(1).count():
         told = now.where("reached and jump is not null").select("file", F.col("jump").alias("off"), F.lit(True).alias("told"))
         twice = now.where("jump is not null").select("file", F.col("off").alias("jump"), F.col("jump").alias("far"))
-        far = now.join(twice, ["file", "jump"], "left")
-        new = materialize(far.join(told, ["file", "off"], "left").select("file", "off", F.col("far").alias("jump"), (F.col("reached") | F.coalesce("told", F.lit(False))).alias("reached")), "chain")
+        far = now.join(twice.hint("merge"), ["file", "jump"], "left")
+        new = materialize(far.join(told.hint("merge"), ["file", "off"], "left").select("file", "off", F.col("far").alias("jump"), (F.col("reached") | F.coalesce("told", F.lit(False))).alias("reached")), "chain")
         forget(now)
         now = new
     return now.where("reached").select("file", "off")
 
 
-def _join_pieces(spark: SparkSession, path: str, placed: DataFrame, base: DataFrame, broken: DataFrame) -> DataFrame:
-    """Records whose payload holds the magic: only their pieces are read again, and joined in order."""
-    span = broken.select("file", F.col("off").alias("record"), "next")
-    wanted = materialize(placed.select("file", "split", "rel", "off").join(span, "file").where("off >= record and off < next").select("file", "split", "rel", "off", "record"), "wanted")
+def _placed(pieces: DataFrame) -> DataFrame:
+    """pieces with `off`, their offset in the file: what the blocks before hold is summed up. The first piece of a file, which stands before
+    any magic, goes."""
+    held = pieces.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("held"))
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    base = held.select("file", "split", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    return pieces.join(base, ["file", "split"]).withColumn("off", F.col("base") + F.col("rel") - len(MAGIC)).where("off >= 0").drop("base")
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _walk(batches):
-            yield _emit([row], "file string, split long, rel long, value binary")
 
-    texts = _scan(spark, path).mapInArrow(again, "file string, split long, rel long, value binary")
-    joined = texts.join(wanted, ["file", "split", "rel"]).groupBy("file", F.col("record").alias("off")).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
-    text = F.aggregate(F.col("parts"), F.lit("").cast("binary"), lambda a, p: F.concat(a, F.lit(MAGIC).cast("binary"), p["value"]))
+def _join_pieces(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
+    """Records whose payload holds the magic: the pieces of their files are read again, and joined in order."""
+    files = materialize(broken.select("file").distinct(), "files")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for file, split, rel, piece in _walk(batches):
+            rows.append((file, split, rel, len(piece), piece))
+            size += len(piece) + 100
+            if size > 4_000_000:
+                yield _emit(rows, "file string, split long, rel long, size long, value binary")
+                rows, size = [], 0
+        yield _emit(rows, "file string, split long, rel long, size long, value binary")
+
+    there = _scan(spark, path).join(files, F.col("file_path") == F.col("file"), "left_semi")
+    texts = materialize(there.mapInArrow(again, "file string, split long, rel long, size long, value binary"), "texts")
+    stretch = lambda c: F.shiftright(c, 16)
+    spans = broken.select("file", F.col("off").alias("record"), "next", F.explode(F.sequence(stretch("off"), stretch(F.col("next") - 1))).alias("stretch"))
+    wanted = _placed(texts).withColumn("stretch", stretch("off")).join(spans, ["file", "stretch"]).where("off >= record and off < next")
+    joined = wanted.groupBy("file", F.col("record").alias("off")).agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("parts"))
+    parts = F.transform("parts", lambda p: F.concat(F.lit(MAGIC).cast("binary"), p["value"]))
+    text = F.unhex(F.array_join(F.transform(parts, F.hex), ""))
     block = F.substr(text, F.lit(len(MAGIC) + 1) + F.col("head").cast("int"), F.col("length").cast("int"))
     rows = broken.join(joined, ["file", "off"]).withColumn("block", block)
 
@@ -201,7 +218,13 @@ def _join_pieces(spark: SparkSession, path: str, placed: DataFrame, base: DataFr
             yield pa.RecordBatch.from_arrays([*rest, pa.array([n for n, _ in out], pa.int64()), pa.array([d for _, d in out], pa.string())], names=[*batch.schema.names[2:], "bytes", "digest"])
 
     keep = ["file", "off", "kind", "record_id", "uri", "refers_to", "said_digest", "said_bytes"]
-    return rows.select("block", "content_type", *keep).mapInArrow(digest, "file string, off long, kind string, record_id string, uri string, refers_to string, said_digest string, said_bytes long, bytes long, digest string")
+    whole = (F.length("block") == F.col("length")).alias("complete")
+    made = materialize(rows.where(whole).select("block", "content_type", *keep).mapInArrow(digest, "file string, off long, kind string, record_id string, uri string, refers_to string, said_digest string, said_bytes long, bytes long, digest string"), "joined")
+    got, want = made.count(), broken.count()
+    if got != want:
+        raise RuntimeError(f"{want - got} of {want} records that hold the magic could not be put together: the archives are cut off, or changed meanwhile")
+    forget(texts, files)
+    return made
 
 
 def id_of(name: Column, kind: str) -> Column:
