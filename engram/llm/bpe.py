@@ -7,7 +7,7 @@ this is memoised. A sequence whose neighbours are all compatible is the one that
 exact, and each position is given up at most once, so the time is linear in the piece.
 
 Cases: null text counts as empty; an empty text has no tokens; text of any length is encoded whole; bytes that are not
-valid UTF-8 cannot occur in a Spark string column that Python reads.
+UTF-8 count as the replacement character.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from engram.llm._common import map_batches
+from engram.llm._common import map_batches, valid
 
-#: Segments, and pairs of tokens, remembered by a Python worker; a memo is emptied when it is full. Bounds memory, not results.
+#: Segments, and pairs of tokens, remembered by a Python worker; a memo is emptied when it is full, and keeps no segment of over MEMO_CHARS
+#: characters. Bounds memory, not results.
 MEMO = 700_000
+MEMO_CHARS = 64
 PAIRS = 700_000
 #: Rows of one output batch, so that the ids of a few hundred texts are held at a time.
 ROWS = 256
@@ -175,24 +178,31 @@ class BytePairEncoder:
         made = iter(self.encode_pieces(pieces))
         return [tuple(chain.from_iterable(next(made) for _ in range(n))) for n in counts]
 
-    def _learn(self, memo: dict[str, tuple[int, ...]], lead: str, keys: list[str]) -> None:
+    def _learn(self, memo: dict[str, tuple[int, ...]], lead: str, keys: list[str]) -> list[str]:
+        """Returns what the memo must not keep."""
         new = [k for k in set(keys) if k not in memo]
+        long = [k for k in new if len(k) > MEMO_CHARS]
         if new:
             if len(memo) + len(new) > self.most:
                 memo.clear()
                 new = list(set(keys))
             memo.update(zip(new, self.encode_segments([lead + k for k in new]), strict=True))
+        return long
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, which is cut where a match must begin (see cut()); equal segments are encoded once."""
         got: list[tuple[int, ...]] = []
         lines = cut(text)
-        self._learn(self.memo, "", [head for head, _ in lines if head])
-        self._learn(self.after, " ", [word for _, words in lines for word in words])
+        long = self._learn(self.memo, "", [head for head, _ in lines if head])
+        after = self._learn(self.after, " ", [word for _, words in lines for word in words])
         for head, words in lines:
             if head:
                 got.append(self.memo[head])
             got += map(self.after.__getitem__, words)
+        for k in long:
+            del self.memo[k]
+        for k in after:
+            del self.after[k]
         return list(chain.from_iterable(got))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -275,4 +285,4 @@ def encode_batches(df: DataFrame, id_col: str, text_col: str, ranks: str | None
         return step
 
     schema = ", ".join([f"{id_col} {df.schema[id_col].dataType.simpleString()}", *(f"{c} {kinds[c][0]}" for c in columns)])
-    return map_batches(df.select(id_col, text_col), make, schema, ROWS)
+    return map_batches(df.select(id_col, valid(F.col(text_col))), make, schema, ROWS)

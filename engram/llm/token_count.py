@@ -1,16 +1,17 @@
 """Token counts as the library for a vocabulary gives them, with overlap resynchronisation for huge documents.
 
-A document beyond `chunk_chars` is encoded in overlapping chunks with offsets. Two chunks are spliced at a common
-boundary in their overlap that is proven stable: a blank between two characters that are not white space always begins
-a pre-token, whatever stands around it, so both encodings must start a token there and agree from there on. Where an
-overlap holds no such place on which both agree, it is doubled; at worst the chunk becomes the whole rest of the text.
-Shorter texts, and the parts of chunks, are cut at the same places and equal segments are encoded once per worker.
+A document beyond `chunk_chars` is encoded by the library in overlapping chunks with offsets. Two chunks are spliced at a place
+in their overlap where both start a token and which is proven stable: a blank, or a line feed, between two characters that are not white
+space always begins a pre-token, whatever stands around it, so from there on both encodings are that of the whole text, as far as a
+later such place. Where an overlap holds no such place on which both agree, it is doubled and the left chunk is encoded
+again up to its new end; at worst a chunk becomes the whole rest of the text. The count is that of the chunks' own tokens between splices.
+Shorter texts are cut at the same places, and equal segments are encoded once per worker.
 
 Only byte-level vocabularies with a white-space pre-tokeniser have such proven places; for others (.model files, word
 BPE) each text is encoded whole.
 
 Cases: null text counts as empty: 0 bytes, 0 tokens; strings of special tokens inside a text are treated as the library
-does by default; no truncation, no padding, no added tokens.
+does by default; no truncation, no padding, no added tokens; bytes that are not UTF-8 count as the replacement character.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import json
 import os
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from engram.llm._common import map_batches
-from engram.llm.bpe import cut
+from engram.llm._common import map_batches, valid
+from engram.llm.bpe import MEMO_CHARS, cut
 
 CHUNK_CHARS = 65_536
 OVERLAP_CHARS = 512
-#: Segments remembered by a Python worker; the memo is emptied when it is full. Bounds memory, not results.
+#: Segments remembered by a Python worker, of MEMO_CHARS characters at most; the memo is emptied when it is full. Bounds memory, not results.
 MEMO = 700_000
 
 
@@ -40,6 +43,9 @@ class TokenCounter:
         self.after: dict[str, int] = {}
         self.piece = path.endswith(".model")
         self.stable = False
+        #: Of the last huge text: the splices, and how often an overlap was doubled.
+        self.splices: list[int] = []
+        self.widened = 0
         if self.piece:
             import sentencepiece
 
@@ -78,43 +84,56 @@ class TokenCounter:
 
     def _known(self, memo: dict[str, int], lead: str, parts: list[str]) -> int:
         new = [p for p in set(parts) if p not in memo]
+        long = [p for p in new if len(p) > MEMO_CHARS]
         if new:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = list(set(parts))
             memo.update(zip(new, self._library([lead + p for p in new]), strict=True))
-        return sum(map(memo.__getitem__, parts))
-
-    def _starts(self, text: str, base: int, lo: int, hi: int) -> set[int]:
-        """Token starts of the library's own encoding of a chunk, as offsets in the document, from lo to below hi."""
-        return {base + a for a, _ in self.lib.encode(text, add_special_tokens=False).offsets if lo <= base + a < hi}
-
-    def _splice(self, text: str, lo: int, hi: int, left: int, right: int) -> int | None:
-        """A place in lo..hi where a chunk from `left` and one to `right` both start a token and which is proven stable."""
-        p = text.find(" ", max(lo, 1), hi)
-        while p >= 0:
-            if p + 1 < len(text) and not text[p - 1].isspace() and not text[p + 1].isspace():
-                reach = 64
-                a = self._starts(text[max(left, p - reach) : min(len(text), p + reach)], max(left, p - reach), p, p + 1)
-                b = self._starts(text[p : min(right, p + reach)], p, p, p + 1)
-                if p in a and p in b:
-                    return p
-            p = text.find(" ", p + 1, hi)
+        total = sum(map(memo.__getitem__, parts))
+        for p in long:
+            del memo[p]
+        return total
+
+    def _starts(self, text: str, begin: int, end: int) -> np.ndarray:
+        """Where in the text the tokens of the library's own encoding of text[begin:end] start. Its offsets leave leading white space out, which
+        belongs to the token all the same; of a character in several tokens each has the place."""
+        both = np.array(self.lib.encode(text[begin:end], add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        return begin + np.minimum(both[:, 0], np.append(0, both[:-1, 1]))
+
+    def _splice(self, text: str, lo: int, hi: int, left: np.ndarray, right: np.ndarray) -> int | None:
+        """The first place in lo..hi at which both encodings start a token and which is proven stable."""
+        both = np.intersect1d(left[(left >= max(lo, 1)) & (left < hi)], right)
+        for p in both.tolist():
+            if text[p] in " \n" and p + 1 < len(text) and not text[p - 1].isspace() and not text[p + 1].isspace():
+                return p
         return None
 
     def _count_huge(self, text: str) -> int:
-        total, at, n = 0, 0, len(text)
-        while n - at > self.chunk:
-            overlap, cut = min(self.overlap, self.chunk), None
-            while cut is None and at + self.chunk + overlap < n:
-                end = at + self.chunk + overlap
-                cut = self._splice(text, end - 2 * overlap if overlap < self.chunk else at + 1, end, at, n)
-                overlap *= 2
-            if cut is None:
+        n, total = len(text), 0
+        self.splices, self.widened = [], 0
+        begin, start, end = 0, 0, min(len(text), self.chunk)  # of the chunk, and of its tokens that count
+        left = self._starts(text, begin, end)
+        while end < n:
+            overlap, place = self.overlap, None
+            while place is None:
+                after = max(start + 1, end - overlap)
+                stop = min(n, after + max(self.chunk, 2 * (end - after)))
+                right = self._starts(text, after, stop)
+                place = self._splice(text, after, end, left, right)
+                if place is None:
+                    self.widened += 1
+                    if end == n:  # nothing to splice: the left chunk holds the whole rest
+                        break
+                    end = min(n, end + overlap)
+                    left = self._starts(text, begin, end)
+                    overlap *= 2
+            if place is None:
                 break
-            total += self._count_plain(text[at:cut])
-            at = cut
-        return total + self._count_plain(text[at:])
+            total += int(((left >= start) & (left < place)).sum())
+            self.splices.append(place)
+            begin, start, end, left = after, place, stop, right
+        return total + int((left >= start).sum())
 
 
 @lru_cache(maxsize=4)
@@ -139,4 +158,4 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, path: str | None = N
 
         return step
 
-    return map_batches(df.select(id_col, text_col), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(df.select(id_col, valid(F.col(text_col))), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
