@@ -8,11 +8,12 @@ matrix product for each n.
 
 N-grams are hashed to 2**20 bins; only bins that occur in a landmark count, in both the product and the norms.
 
-Bounds: the model is fitted on at most `per_language` training rows a language (those of the smallest hash of text and id), of
-at most `train_chars` characters each; longer texts are not drawn for training. Prediction reads whole texts of any length.
+Bounds: the model is fitted on at most `per_language` distinct training texts a language, drawn by a hash of the text, of longer ones a passage of
+`train_chars` characters from a place that the hash chooses. Prediction reads whole texts of any length.
 
 Cases: null text, or one without a letter: `und`, score 0. No training row: every row is `und`. One language only: that
-one, score 1. Repeated rows, ties: the same text always gets the same answer; equal scores go to the smaller name.
+one, score 1. Repeated rows, ties: the same text always gets the same answer; equal scores go to the smaller name. Bytes that are not UTF-8
+count as the replacement character. Columns named lang_pred or lang_score are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engram.llm._common import map_batches
+from engram.llm._common import map_batches, valid
 
 LENGTHS = (1, 2, 3, 4)
 BITS = 20
@@ -123,30 +125,28 @@ def fit_rows(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: flo
     return Model(languages, slots, [(u.T @ dual).astype(np.float32) for u in unit], (mean_t - mean_f @ solved).astype(np.float32))
 
 
-def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS, landmarks: int = LANDMARKS) -> Model:
-    """Fit on a bounded sample of the labelled rows. The draw goes by a hash, first by a threshold from each language's
-    number of rows, so that no sort or shuffle of texts is needed; then exact repeats are dropped and the bound is applied."""
-    counts = {r[0]: r[1] for r in train.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str | None = None, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS, landmarks: int = LANDMARKS) -> Model:
+    """Fit on a bounded sample of the labelled rows: for each language the `per_language` distinct texts of the smallest hash. Each
+    language's number of distinct texts sets a threshold first, so that only about twice that many are shuffled. Of a text of over `train_chars`
+    characters a passage of that length is taken, from a place that its hash chooses."""
+    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}")).select(F.col(lang_col).alias("lang"), valid(F.col(text_col)).alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # a row for each language
     if not counts:
         return fit_rows([])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64("h"), F.lit(1_000_000))
     wanted: Column = F.lit(False)
     for lang, n in counts.items():
-        wanted = wanted | ((F.col(lang_col) == lang) & (draw < int(min(1_000_000, 1 + 2_000_000 * per_language / n))))
-    usable = (F.length(text_col) <= train_chars) & F.col(text_col).rlike("\\p{L}")
-    drawn = train.where(wanted).where(usable).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"), F.col(id_col).cast("string").alias("id"))
-    rows, seen, have = [], set(), dict.fromkeys(counts, 0)
-    for r in sorted(drawn.collect(), key=lambda r: (r["draw"], r["id"] or "", r["text"])):
-        if (r["lang"], r["text"]) not in seen and have[r["lang"]] < per_language:
-            seen.add((r["lang"], r["text"]))
-            have[r["lang"]] += 1
-            rows.append((r["lang"], r["text"]))
-    return fit_rows(rows, landmarks)
+        wanted = wanted | ((F.col("lang") == lang) & (draw < int(min(1_000_000, 1 + 2_000_000 * per_language / max(1, n)))))
+    start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - train_chars + 1)).cast("int") + 1
+    once = known.where(wanted).groupBy("lang", draw.alias("draw"), "h").agg(F.first(F.substr("text", start, F.lit(train_chars))).alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("draw", "h"))
+    rows = once.withColumn("place", place).where(F.col("place") <= per_language).where(F.col("text").rlike("\\p{L}")).collect()
+    return fit_rows([(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["place"]))], landmarks)
 
 
 def annotate(df: DataFrame, text_col: str, model: Model, columns: tuple[str, ...] | None = None) -> DataFrame:
     """df, or its named columns, with lang_pred and lang_score. Rows pass through as Arrow batches, in their order."""
-    keep = columns or tuple(df.columns)
+    keep = tuple(c for c in columns or df.columns if c not in ("lang_pred", "lang_score"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -178,7 +178,7 @@ def annotate(df: DataFrame, text_col: str, model: Model, columns: tuple[str, ...
         return step
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(df.select(F.col(text_col).alias("_text"), *keep), make, f"{kinds}, lang_pred string, lang_score double")
+    return map_batches(df.select(valid(F.col(text_col)), *keep), make, f"{kinds}, lang_pred string, lang_score double")
 
 
 def predict(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:

@@ -10,7 +10,7 @@ the components of all links.
 
 Cases: null and empty texts have fingerprint zero, and are linked like any other; a text below three words is one shingle;
 repeated rows and rows with one id are kept, each with its row; null ids take part, and a component's smallest id ignores them
-(null if it has no other).
+(null if it has no other); bytes that are not UTF-8 count as the replacement character.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._common import forget, map_batches, materialize
+from engram.llm._common import forget, map_batches, materialize, valid
 from engram.llm.components import components, contracted_components
 
 RADIUS = 3
@@ -71,7 +71,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, words: int = SHINGLE
 
         return step
 
-    return map_batches(df.select(id_col, text_col), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, bits long")
+    return map_batches(df.select(id_col, valid(F.col(text_col))), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, bits long")
 
 
 class _Union:
@@ -371,7 +371,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
         return step
 
-    prints = materialize(map_batches(df.select(id_col, text_col), make, f"{id_col} {kind}, lanes binary, item long"), "prints")
+    prints = materialize(map_batches(df.select(id_col, valid(F.col(text_col))), make, f"{id_col} {kind}, lanes binary, item long"), "prints")
     items = materialize(prints.groupBy("item").agg(F.min(id_col).alias("first_id"), F.min("lanes").alias("lanes")), "items")
 
     def bins():
@@ -407,7 +407,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
         return step
 
-    once = map_batches(df.select(F.col(text_col).alias("text")), named, "item long, text string").join(clusters, "item").groupBy("item").agg(F.first("bin").alias("bin"), F.first("text").alias("text"))
+    once = map_batches(df.select(valid(F.col(text_col)).alias("text")), named, "item long, text string").join(clusters, "item").groupBy("item").agg(F.first("bin").alias("bin"), F.first("text").alias("text"))
     members = materialize(map_batches(once.select("bin", "item", "text"), sets, "bin long, item long, n long, lanes binary"), "members")
 
     def same(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:

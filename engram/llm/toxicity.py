@@ -8,7 +8,8 @@ Bounds: the model is fitted on at most `per_class` labelled rows a class, drawn
 `max_features` features, those that set the classes apart most clearly. Scoring reads whole texts.
 
 Cases: null and empty texts get the score of a text without features; no labels, or no toxic ones: every score is 0; null
-labels and ids are no labels; of several labels for one id the largest holds; repeated rows are scored alike.
+labels and ids are no labels; of several labels for one id the largest holds; repeated rows are scored alike; bytes that are not UTF-8
+count as the replacement character.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._common import forget, map_batches, materialize
+from engram.llm._common import forget, map_batches, materialize, valid
 
 PER_CLASS = 6_000
 MAX_FEATURES = 1_500
@@ -140,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
         return step
 
-    # the sample has 2 * per_class rows at most, so it may be broadcast whatever the tables' sizes
-    joined = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("y", text_col)
+    # the sample has 2 * per_class rows at most, so it may be broadcast whatever the tables' sizes; of several texts with one id the least counts
+    joined = docs.select(id_col, valid(F.col(text_col)).alias("text")).join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
     found = materialize(map_batches(joined, make, "y int, own array<long>, other array<long>"), "features")
     seen = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
     pos, neg = seen.get(1, 0), seen.get(0, 0)
@@ -178,4 +179,4 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
 
         return step
 
-    return map_batches(df.select(id_col, text_col), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return map_batches(df.select(id_col, valid(F.col(text_col))), make, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double, predicted int")

@@ -163,6 +163,24 @@ def test_warc_round_trip(spark):
     assert {i for i, t in some.items() if t == "revisit"} == set()
 
 
+def test_warc_splits_may_change_between_reads(spark, monkeypatch):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    df = spark.createDataFrame([(i, "u", f"{i} " + (inner + "x" * 900) * (i % 4)) for i in range(60)], "page_id long, url string, html string")
+    path, scan, seen = scratch_path(spark, "warc"), warc._scan, []
+    warc.write(df.coalesce(1), "page_id", "url", "html", path)
+
+    def other(*args):
+        seen.append(args)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k" if len(seen) == 1 else "10k")
+        return scan(*args)
+
+    monkeypatch.setattr(warc, "_scan", other)
+    rows = warc.read(spark, path).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen) == 2 and len(rows) == 60 and {r.bytes for r in rows} == {len(f"{i} " + (inner + "x" * 900) * (i % 4)) for i in range(60)}
+    assert all(r.said_digest == f"sha1:{r.digest}" for r in rows)
+
+
 def test_warc_query(spark, data):
     import duckdb
 
@@ -334,6 +352,41 @@ def test_nearest_odd_rows(spark):
     assert ann.search(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
 
 
+def found_by(spark, vectors, every=20, **how):
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = collections.defaultdict(list)
+    for r in ann.search(df, "vec_id", "embedding", F.col("vec_id") % every == 0, **how).orderBy("query_id", "rank").collect():
+        out[r.query_id].append((r.score, r.vec_id))
+    return out
+
+
+def test_nearest_far_from_the_origin(spark):
+    x = np.random.default_rng(1).normal(size=(300, 8)) + 1e8
+    for how in ({}, {"share": 0.1}):
+        got = found_by(spark, x, **how)
+        hits = [len({i for _, i in got[q]} & {i for _, i in nearest(x, range(300), q)}) for q in range(0, 300, 20)]
+        assert np.mean(hits) == 10 if not how else np.mean(hits) > 5
+        assert all(s == pytest.approx(float(np.sqrt(((x[i] - x[q]) ** 2).sum()))) for q in got for s, i in got[q])
+
+
+def test_nearest_with_many_ties(spark):
+    x = np.random.default_rng(2).integers(0, 2, size=(500, 12)) * 1.0
+    x[:, 0] = 1
+    for how in ({"share": 1.0}, {"share": 1.0, "pass_bytes": 1_000}):
+        got = found_by(spark, x, **how)
+        assert dict(got) == {q: nearest(x, range(500), q) for q in range(0, 500, 20)}
+
+
+def test_recall_on_clusters_by_curves(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 24)) * 10
+    x = (centres[:, None, :] + rng.normal(size=(300, 20, 24)) * 0.05).reshape(-1, 24)[rng.permutation(6000)]
+    assert 2 * ann.CURVES * ann.fit_share(x, ann.Curves(x), 10) < 1  # so the curves are used
+    got = found_by(spark, x, every=100, block_rows=64)
+    hits = [len({i for _, i in got[q]} & {i for _, i in nearest(x, range(6000), q)}) for q in range(0, 6000, 100)]
+    assert np.mean(hits) >= 9.0
+
+
 def test_hilbert_is_a_walk_over_all_cells():
     cells = np.array([[i, j, k] for i in range(8) for j in range(8) for k in range(8)])
     place = ann.hilbert(cells, 3)
