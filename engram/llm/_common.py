@@ -62,13 +62,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
-    """As materialize(), in files by the hash of a column: later groupings by it do not move the table."""
+def bucketed(df: DataFrame, tag: str, key: str, buckets: int, folder: str) -> tuple[DataFrame, Callable[[object], None]]:
+    """As materialize(), in files by the hash of a column, so that later groupings by it do not move the table, and in a folder for each value of
+    another column; also what deletes the folder of a value that nothing will read again."""
     spark = df.sparkSession
     path, n = scratch_path(spark, tag), max(1, min(buckets, 50_000))
     name = f"engram_{path.rsplit('-', 1)[1]}"
-    df.write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    df.write.partitionBy(folder).bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name), lambda value: _delete(spark, f"{path}/{folder}={value}")
 
 
 def release(spark: SparkSession) -> None:

@@ -82,6 +82,18 @@ def _pack(a: np.ndarray, kind: str) -> bytes:
     return zstandard.compress(a.astype(kind).tobytes(), 1)
 
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Hashes that mostly ascend: differences, byte by byte of all of them, so that the high bytes, which are mostly 0, take no room."""
+    d = h.astype("<u8")
+    d[1:] -= h[:-1]
+    return zstandard.compress(d.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack_hashes(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(b), kind)
 
@@ -110,16 +122,15 @@ class Pairs:
         near = word.astype(np.uint32)
         del word, at_place
         parts = (1 + (self.n - 1) // hot).astype(np.int32)  # a hot context is dealt out by the next symbol
-        bucket = bucket_of(context, buckets)
-        many = np.nonzero(parts > 1)[0]
+        home, many = context, np.nonzero(parts > 1)[0]
         if len(many):
             part = near[many].astype(np.int64) * parts[many] >> 32
-            bucket[many] = bucket_of(mix(context[many], part.astype(np.uint64)), buckets)
-        bucket = bucket.astype(np.uint16 if buckets < 65_536 else np.int64)
-        self.order = np.argsort(bucket, kind="stable").astype(np.int32)
-        self.bucket, self.context = bucket[self.order], context[self.order]
-        del bucket, context
-        self.sent = {"n": self.n[self.order], "parts": parts[self.order], "next": near[self.order], "parent": self.parent.astype(np.float16)[self.order]}
+            home = context.copy()
+            home[many] = mix(context[many], part.astype(np.uint64))
+        self.order = np.argsort(home, kind="stable").astype(np.int32)
+        self.bucket, self.context = bucket_of(home[self.order], buckets), context[self.order]
+        del home, context
+        self.sent = {"n": self.n[self.order], "parts": parts[self.order], "next": near[self.order], "parent": np.minimum(255, np.rint(self.parent * -20)).astype(np.uint8)[self.order]}  # for the test, twentieths of a decade
         self.sent["learnt"] = np.bincount(self.number[batch.learnt[places]], minlength=len(self.order)).astype(np.int32)[self.order]
         begins = np.ones(len(self.order), dtype=bool)
         begins[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
@@ -134,7 +145,7 @@ class Pairs:
                 lo, hi = np.searchsorted(self.first, [a, b])
                 heads = self.first[lo:hi]
                 size = np.diff(np.append(heads, b))
-                yield {"batch": number, "bucket": int(self.bucket[a]), "context": self.context[heads].tobytes(), "n": _pack(sent["n"][heads], "<i8"), "size": _pack(size, "<i4"), "parts": _pack(sent["parts"][heads], "<i8"), "next": sent["next"][a:b].tobytes(), "learnt": _pack(sent["learnt"][a:b], "<i8"), "parent": _pack(sent["parent"][a:b], "<f2")}
+                yield {"batch": number, "bucket": int(self.bucket[a]), "context": _pack_hashes(self.context[heads]), "n": _pack(sent["n"][heads], "<i8"), "size": _pack(size, "<i4"), "parts": _pack(sent["parts"][heads], "<i8"), "next": sent["next"][a:b].tobytes(), "learnt": _pack(sent["learnt"][a:b], "<i8"), "parent": _pack(sent["parent"][a:b], "u1")}
 
     def heard(self, counts: np.ndarray, kinds: np.ndarray, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """counts: of each pair in the order sent; kinds: of each context sent, those of its next symbols, or 0 if it is no state, or -1: look
@@ -200,7 +211,7 @@ class Batch:
 
 def total_words(table: pa.Table) -> pa.Table:
     """One bucket of words: their training counts back to each batch, and a row for the whole with kinds and tokens."""
-    parts = [np.frombuffer(x.as_py(), "<u8") for x in table["context"]]
+    parts = [_unpack_hashes(x.as_py()) for x in table["context"]]
     learnt = np.concatenate([_unpack(x.as_py(), "<i8") for x in table["learnt"]])
     words, at = np.unique(np.concatenate(parts), return_inverse=True)
     sums = np.bincount(at, weights=learnt, minlength=len(words)).astype(np.int64)
@@ -211,13 +222,13 @@ def total_words(table: pa.Table) -> pa.Table:
 
 def total_pairs(table: pa.Table, min_gain: float) -> pa.Table:
     """One bucket of pairs: counts back to each batch, and whether contexts are states (the number of kinds that follow, else 0)."""
-    heads = [np.frombuffer(x.as_py(), "<u8") for x in table["context"]]
+    heads = [_unpack_hashes(x.as_py()) for x in table["context"]]
     sizes = [_unpack(x.as_py(), "<i4") for x in table["size"]]
     n, parts = (np.concatenate([_unpack(x.as_py(), "<i8") for x in table[c]]) for c in ("n", "parts"))
     head = np.concatenate(heads)
     near = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table["next"]])
     learnt = np.concatenate([_unpack(x.as_py(), "<i8") for x in table["learnt"]])
-    parent = np.concatenate([_unpack(x.as_py(), "<f2") for x in table["parent"]])
+    parent = np.concatenate([_unpack(x.as_py(), "u1") for x in table["parent"]]) / -20.0
     # a hot context has several parts, which may meet in one bucket and are tested together then
     contexts, first, of = np.unique(head, return_index=True, return_inverse=True)
     of_pair = np.repeat(of, np.concatenate(sizes))
@@ -227,7 +238,7 @@ def total_pairs(table: pa.Table, min_gain: float) -> pa.Table:
     kinds = np.bincount(owner[known], minlength=len(contexts))
     n, parts = n[first].astype(np.float64), parts[first]
     whole = np.where(parts > 1, kinds * parts, kinds).astype(np.float64)  # next symbols are dealt evenly to the parts
-    t, p, own = whole[owner[known]], 10.0 ** parent[at][known].astype(np.float64), n[owner[known]]
+    t, p, own = whole[owner[known]], 10.0 ** parent[at][known], n[owner[known]]
     saved = c[known] * np.log(((c[known] - 1) + t * p) / ((own - 1 + t) * p))
     gain = np.bincount(owner[known], weights=saved, minlength=len(contexts))
     hot = parts > 1
@@ -294,7 +305,7 @@ def _batch_rows(ids: list, texts: list[bytes], train: list[bool], number: int, b
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in np.unique(bucket).tolist():
         lo, hi = edges[b], edges[b + 1]
-        yield {"batch": number, "bucket": b, "context": hashes[lo:hi].tobytes(), "learnt": _pack(learnt[lo:hi], "<i8")}
+        yield {"batch": number, "bucket": b, "context": _pack_hashes(hashes[lo:hi]), "learnt": _pack(learnt[lo:hi], "<i8")}
 
 
 def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: int = DEPTH, min_gain: float = MIN_GAIN, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
@@ -321,9 +332,11 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: in
             yield pa.RecordBatch.from_arrays(columns, names=[*arrow.names, "ids"])
 
     # batches lie in files by their number, so that answers come to them and they are not moved
-    sent = bucketed(rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>"), "batches", "batch", rules.buckets)
-    docs = sent.where("bucket < 0").select("batch", "ids", "sizes", "train", "hashes", "symbols")
-    words = materialize(sent.where("bucket >= 0").select("batch", "bucket", "context", "learnt").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
+    made = rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>")
+    sent, drop = bucketed(made.withColumn("texts", (F.col("bucket") < 0).cast("int")), "batches", "batch", rules.buckets, "texts")
+    docs = sent.where("texts = 1").select("batch", "ids", "sizes", "train", "hashes", "symbols")
+    words = materialize(sent.where("texts = 0").select("batch", "bucket", "context", "learnt").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
+    drop(0)
     release(rows.sparkSession)
     rules.tokens, rules.kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     rules.hot = max(hot, rules.tokens // 100_000)
