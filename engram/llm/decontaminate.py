@@ -17,6 +17,8 @@ included, share their hits; repeated rows stay. Ties do not matter: all items th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ def token_hashes(text: Column) -> Column:
 
 
 def tokens_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t): the tokens of each row, as hashes."""
-    return df.select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("t"))
+    """(id, t): the tokens of each row, as hashes. They are made by a generator of one row, as filters on their number would else be moved below
+    and cut the text a second time."""
+    return df.select(F.col(id_col).alias("id"), F.explode(F.array(token_hashes(F.col(text_col)))).alias("t"))
 
 
 def blocks(tokens: DataFrame) -> DataFrame:
@@ -54,23 +57,28 @@ def window(block: Column, k: Column) -> Column:
     return F.slice(block, k, BEFORE + BEHIND)
 
 
-def seeds(block: Column, k: Column) -> Column:
-    """The seeds of place k (from 1) of a block."""
-    return F.array(*[F.xxhash64(F.lit(m), *(F.get(block, k + (BEFORE - 1 + i)) for i in mask)) for m, mask in enumerate(MASKS)])
+def seeded(cut: DataFrame) -> DataFrame:
+    """(columns of cut, place, seed) for every place of a block, from 1, and every mask. The tokens that masks look at are laid side by side, so that
+    places are made, hashed and joined in generated code; the block is only passed on."""
+    seen = sorted({i for mask in MASKS for i in mask})
+    beside = F.arrays_zip(F.sequence(F.lit(1), F.col("places")), *(F.slice("block", F.lit(BEFORE + 1 + i), F.col("places")) for i in seen))
+    names = {i: f"t{i}" for i in seen}
+    each = cut.select(*cut.columns, F.inline(beside).alias("place", *names.values()))
+    seeds = F.array(*(F.xxhash64(F.lit(m), *(F.col(names[i]) for i in mask)) for m, mask in enumerate(MASKS)))
+    return each.select(*cut.columns, "place", F.explode(seeds).alias("seed"))
 
 
-def seeded(cut: DataFrame) -> DataFrame:
-    """(id, n, win, seed) of every place and mask."""
-    each = F.transform(F.sequence(F.lit(1), F.col("places")), lambda k: F.struct(window(F.col("block"), k).alias("win"), seeds(F.col("block"), k).alias("seeds")))
-    return cut.select("id", "n", F.explode(each).alias("w")).select("id", "n", "w.win", F.explode("w.seeds").alias("seed"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def overlap(ours: Column, theirs: Column, n: Column) -> Column:
     """Whether enough of the aligned tokens agree, for an item of n tokens."""
-    same = F.zip_with(ours, theirs, lambda a, b: F.when(a == b, 1).otherwise(0))
     starts = F.sequence(F.lit(1), F.lit(BEFORE + BEHIND - STRETCH + 1))
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
-    return F.when(n < STRETCH, total(same) >= F.ceil(n * SHARE)).otherwise(F.exists(starts, lambda s: total(F.slice(same, s, STRETCH)) >= EQUAL))
+    enough = lambda same: F.when(n < STRETCH, total(same) >= F.ceil(n * SHARE)).otherwise(F.exists(starts, lambda s: total(F.slice(same, s, STRETCH)) >= EQUAL))
+    return _let(F.zip_with(ours, theirs, lambda a, b: F.when(a == b, 1).otherwise(0)), enough)
 
 
 def _runs(tokens: DataFrame, sizes: list[int]) -> DataFrame:
@@ -94,16 +102,14 @@ def hits(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id:
     total = theirs.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0] if sizes else 0
     small = total <= broadcast_tokens
     hint = F.broadcast if small else lambda x: x
-    item_seeds = seeded(blocks(theirs)).select("seed", F.col("id").alias("item"), F.col("n").alias("item_n"), F.col("win").alias("item_win")).distinct()
-    ok = overlap(F.col("win"), F.col("item_win"), F.col("item_n"))
+    item_seeds = seeded(blocks(theirs)).select("seed", F.col("id").alias("item"), F.col("n").alias("item_n"), window(F.col("block"), F.col("place")).alias("item_win")).distinct()
+    ok = overlap(window(F.col("block"), F.col("place")), F.col("item_win"), F.col("item_n"))
     if small:
-        found = seeded(blocks(ours)).select("id", "win", "seed").join(hint(item_seeds), "seed").where(ok).select("id", "item")
+        found = seeded(blocks(ours)).select("id", "block", "place", "seed").join(hint(item_seeds), "seed").where(ok).select("id", "item")
     else:
         cut = materialize(blocks(ours).withColumn("key", F.monotonically_increasing_id()), "blocks")
-        places = cut.select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("places")), lambda k: seeds(F.col("block"), k))).alias("place", "s")).select("key", "place", F.explode("s").alias("seed"))
-        met = materialize(places.join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "met")
-        again = met.join(cut.select("key", "id", "block"), "key").select("id", "seed", window(F.col("block"), F.col("place") + 1).alias("win"))
-        found = again.join(item_seeds, "seed").where(ok).select("id", "item")
+        met = materialize(seeded(cut).select("key", "place", "seed").join(item_seeds.select("seed").distinct(), "seed", "left_semi"), "met")
+        found = met.join(cut.select("key", "id", "block"), "key").select("id", "seed", "block", "place").join(item_seeds, "seed").where(ok).select("id", "item")
     short = sorted(n for n in sizes if 0 < n < SPAN)
     if short:
         whole = theirs.where(F.size("t").isin(short)).select(F.col("id").alias("item"), F.xxhash64(F.size("t"), F.col("t")).alias("seed")).distinct()
