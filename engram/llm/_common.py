@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -91,7 +92,7 @@ def forget(*frames: DataFrame) -> None:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 1_000) -> DataFrame:
     """Arrow-batched map. make() runs once in a task and returns a function from a batch of at most `rows` rows to columns."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

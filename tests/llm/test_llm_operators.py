@@ -100,6 +100,45 @@ def test_token_counts_of_special_strings_and_chunks():
         assert c.count(s) == len(c.lib.encode(s, add_special_tokens=False))
 
 
+def test_token_counts_come_from_chunks(monkeypatch):
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r, c = random.Random(6), token_count.TokenCounter(path, 300, 16)
+    monkeypatch.setattr(c, "_count_plain", None)  # the chunks' own tokens are counted, nothing else
+    words = ["the", "naïve", "漢字", "x=1;", "don't", "<|endoftext|>", "1234567", "🎉🎉", "a"]
+    text = "".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "  ", "\t"]) for _ in range(2_000))
+    assert c.count(text) == len(c.lib.encode(text, add_special_tokens=False)) and len(c.splices) > 20 and c.splices == sorted(set(c.splices))
+    assert all(text[p] in " \n" for p in c.splices)
+    blob = "word " * 80 + "q7Zk2é" * 400 + " word" * 200  # no place in the middle: overlaps are widened
+    assert c.count(blob) == len(c.lib.encode(blob, add_special_tokens=False)) and c.widened >= 3 and c.splices
+    whole = "漢x" * 2_000  # none at all: one chunk
+    assert c.count(whole) == len(c.lib.encode(whole, add_special_tokens=False)) and not c.splices and c.widened > 3
+
+
+def test_memos_keep_no_long_segments(reference):
+    e = bpe.BytePairEncoder(reference._mergeable_ranks, public_tokenizers.PATTERN)
+    c = token_count.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    s = "y" * 500 + " short " + "z" * 70 + " " + "y" * 500
+    for _ in range(2):
+        assert e.encode(s) == reference.encode_ordinary(s) and c.count(s) == len(e.encode(s))
+    assert max(map(len, [*e.memo, *e.after, *c.memo, *c.after])) <= bpe.MEMO_CHARS
+
+
+def test_invalid_utf8(spark):
+    df = spark.createDataFrame([(1, "good text of words"), (2, None)], "doc_id long, text string").unionByName(spark.sql("select 3L as doc_id, cast(unhex('61FF62') as string) as text")).withColumn("lang", F.lit("en"))
+    assert {r.doc_id: r.decoded for r in bpe.encode_batches(df, "doc_id", "text", columns=("decoded",)).collect()}[3] == "a\ufffdb".encode()
+    assert {r.doc_id: r.n_bytes for r in token_count.count_tokens(df, "doc_id", "text").collect()} == {1: 18, 2: 0, 3: 5}
+    assert simhash.near_duplicates(df, "doc_id", "text").count() == simhash.similar_texts(df, "doc_id", "text").count() == 3
+    assert language_id.predict(df, "doc_id", "text", language_id.fit(df, "text", "lang")).count() == 3
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.score(df, "doc_id", "text", toxicity.fit(df, labels, "doc_id", "text", "toxic")).count() == 3
+    assert lm_score.score(df, "doc_id", "text", F.lit(True)).count() == 3
+    assert secret_scan.scan(df, "doc_id", "text").count() == 3
+    items = spark.createDataFrame([(1, "good text of words")], "item_id long, text string")
+    assert decontaminate.contamination(df, "doc_id", "text", items, "item_id", "text").where("contaminated").count() == 1
+
+
 def test_token_counts_by_other_libraries():
     text = "Hello  world, " * 20
     import sentencepiece
@@ -128,6 +167,45 @@ def test_language_id(spark, data, odd, empty):
     assert language_id.predict(empty, "doc_id", "text", model).count() == 0
 
 
+def test_held_out_languages(spark):
+    q = queries.op1_language_id(spark, "/root/testdata/sf0.01").where("held_out")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    right = q.join(docs, "doc_id").where("lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_long_texts_are_learnt_from(spark):
+    rows = [("en", f"the cat number {i} sat on that mat with them") for i in range(40)] + [("fr", f"le chat {i} dort sur le tapis avec eux " * 700) for i in range(5)]
+    df = spark.createDataFrame([(i % 3, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    m = language_id.fit(df, "text", "lang", per_language=20)
+    assert m.languages == ["en", "fr"] and m.predict(["le chat dort"])[0] == ["fr"] and m.predict(["the mat that sat"])[0] == ["en"]
+
+
+def test_copies_do_not_crowd_out_a_language(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(language_id, "fit_rows", lambda rows, *_: drawn.append(rows))
+    rows = [(None, "one text of a language", "en")] * 3_000 + [(None, f"text {i}", "en") for i in range(200)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", per_language=30)
+    assert len(drawn[0]) == len(set(drawn[0])) == 30
+
+
+def test_kernels_are_brute_force():
+    texts = ["the cat sat", "on the mat", "le chat dort", "sur le tapis"]
+    m = language_id.fit_rows([("en", texts[0]), ("en", texts[1]), ("fr", texts[2]), ("fr", texts[3])])
+    grams = [[{f" {t} "[i : i + n] for i in range(len(t) + 3 - n)} for n in language_id.LENGTHS] for t in texts]
+    unit = [x / np.sqrt(x.sum(axis=1))[:, None] for x in m.presence(texts)]
+    got = sum(x @ x.T for x in unit)
+    want = [[sum(len(a & b) / math.sqrt(len(a) * len(b)) for a, b in zip(g, h, strict=True)) for h in grams] for g in grams]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_language_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "some words", "x", 0.5)], "_text long, text string, lang_pred string, lang_score double")
+    m = language_id.fit_rows([("en", "some words here"), ("fr", "le chat")])
+    row = language_id.annotate(df, "text", m).first()
+    assert row.lang_pred == "en" and row._text == 1 and row.text == "some words"
+
+
 def test_language_prediction_ignores_its_batch():
     rows = [("en", f"the cat number {i} sat on that mat") for i in range(30)] + [("fr", f"le chat {i} dort sur le tapis") for i in range(30)]
     m = language_id.fit_rows(rows)
@@ -417,6 +495,22 @@ def test_toxicity(spark, data, odd, empty):
     assert toxicity.score(empty, "doc_id", "text", model).count() == 0
 
 
+def test_held_out_toxicity(spark):
+    got = queries.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    rows = got.join(labels, "doc_id").select("score", "predicted", "toxic").toPandas()
+    y, rank = rows["toxic"].to_numpy(), rows["score"].rank().to_numpy()
+    n1, n0 = y.sum(), (1 - y).sum()
+    assert (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.93  # area under the curve
+    assert rows["predicted"][y == 1].mean() > 0.85 and rows["predicted"][y == 0].mean() < 0.03
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"awful text {i}") for i in range(500)] + [(2, "a kind text")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert 0 <= toxicity.fit(docs, labels, "doc_id", "text", "toxic").score("awful") <= 1
+
+
 def test_counterfactuals_lower_the_score_of_neutral_mentions():
     rng = np.random.default_rng(9)
     filler = [f"f{i}x" for i in range(200)]
@@ -582,39 +676,3 @@ def test_decontamination_at_any_place(spark):
                 rows.append((len(rows), " ".join(["x"] * before + [f"o{k}" if k in (a, b) else w for k, w in enumerate(words)] + ["y"] * 3)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.id for r in decontaminate.hits(docs, "doc_id", "text", items, "item_id", "text").collect()} == set(range(len(rows)))
-
-
-# ---- the pipeline
-
-
-def test_pipeline(spark, data, tmp_path):
-    import corpus_pipeline as c
-
-    assert [n for n, _ in c.STAGES] == ["language_id", "simhash", "decontaminate", "secret_scan", "byte_bpe"]
-    rows = {r.doc_id: r for r in c.run(spark, data).collect()}
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    assert set(rows) < set(docs) and len(rows) > 0.7 * len(docs)
-    leaks = {r.doc_id for r in queries.op10_decontaminate(spark, data).where("contaminated").collect()}
-    assert not leaks & set(rows)
-    texts = {docs[i].text for i in rows}
-    assert len(texts) == len(rows)  # one of each group of copies
-    e = bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    clean = [i for i in rows if not base_by_re(docs[i].text)]
-    assert clean and all(e.decode(rows[i].ids).decode() == docs[i].text for i in clean)
-    dirty = [i for i in rows if base_by_re(docs[i].text)]
-    assert all("[SECRET]" in e.decode(rows[i].ids).decode() and not base_by_re(e.decode(rows[i].ids).decode()) for i in dirty)
-
-
-def test_pipeline_odd_rows(spark, data, tmp_path):
-    import corpus_pipeline as c
-
-    folder = str(tmp_path / "odd")
-    long = "Der schnelle braune Fuchs springt ueber den faulen Hund und noch viel weiter. " * 30
-    rows = [(1, long, "de", "s", 5), (1, long, "de", "s", 5), (2, long, "de", "s", 5), (None, "ein Text ohne Nummer aber mit vielen Worten darin", None, None, None), (3, None, "de", "s", 0), (4, "", None, "s", 0), (5, "the other language has other words in it " * 9, "en", None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("component_id", F.lit(9)).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    assert sorted((r.doc_id or -1) for r in c.run(spark, folder).collect()) == [-1, 1, 5]
-    none = str(tmp_path / "none")
-    for t in ("documents", "benchmark"):
-        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{none}/{t}.parquet")
-    assert c.run(spark, none).count() == 0
