@@ -4,16 +4,17 @@ language_id keeps documents whose language is told with a score of at least MIN_
 of each group of near-duplicates (five-word shingles, similarity 0.8); decontaminate drops those that hold a benchmark item; secret_scan replaces secrets by a mark and
 sets n_chars anew; byte_bpe encodes and adds ids, their number and the digest of the decoded bytes.
 
-Cases: null and empty texts have no language and go in the first stage. Rows with one id and one text are one document; with different
-texts they are judged by id: a group keeps the rows of its smallest id. Null ids stay unless they are copies of a document with an id. Empty tables pass
-through. Extra columns of documents are dropped.
+Cases: null and empty texts have no language and go in the first stage. The stages that drop rows know a row by its id and the hash of its
+text, so rows without an id are documents like others: copies, near copies and contaminated ones among them go, and clean ones stay. Rows
+of one id and one text are one document, of which one row stays; rows of one id with different texts are judged by their texts. Of a group the document of
+the smallest id stays, one without an id only if no other has one. Empty tables pass through. Extra columns of documents are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import bpe, decontaminate, language_id, secret_scan, simhash
@@ -25,9 +26,19 @@ MIN_LANGUAGE = 0.5
 MEMO = 250_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those ids; the ids are a written table, so Spark sees its size before it picks the join."""
-    return docs.join(materialize(ids.distinct(), "dropped"), "doc_id", "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `key`, which tells rows apart without an id as well; keys are ordered by id, those without one last."""
+    return docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash")))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of a and b have one key; b's columns are those of the key."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (F.xxhash64(a["text"]) == b["text_hash"])
+
+
+def _keys(found: DataFrame, tag: str) -> DataFrame:
+    """The distinct keys, as a written table, so that Spark sees its size before it picks a join."""
+    return materialize(found.select("key.doc_id", "key.text_hash").distinct(), tag)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,24 +49,22 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = materialize(simhash.similar_texts(docs, "doc_id", "text"), "groups")
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = _without(docs, others).where(F.col("doc_id").isNotNull())
-    again = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    lone = found.where("doc_id is null and component_id is null")
+    found = materialize(simhash.similar_texts(_keyed(docs), "key", "text"), "groups")
+    dropped = _keys(found.where(F.col("key") != F.col("component_id")), "dropped")
+    again = _keys(found.groupBy("key").count().where("count > 1"), "repeated")
+    kept = docs.join(dropped, _same(docs, dropped), "left_anti")
     if again.limit(1).count():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    if lone.limit(1).count():
-        kept = kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+        once = kept.join(again, _same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, _same(kept, again), "left_anti").unionByName(once)
     return kept
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    held = decontaminate.hits(docs, "doc_id", "text", items, "item_id", "text")
-    return _without(docs, held.select(F.col("id").alias("doc_id")))
+    held = decontaminate.hits(_keyed(docs), "key", "text", items, "item_id", "text")
+    dropped = _keys(held.select(F.col("id").alias("key")), "dropped")
+    return docs.join(dropped, _same(docs, dropped), "left_anti")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
