@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,22 +24,29 @@ STOP_WORDS = tuple(sorted(set(
 )))
 
 
-def _hits(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, (text.contains(w) for w in words))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def numeric_disagreement(a: Column, b: Column) -> Column:
-    """Both have tokens with digits, they share three tokens or more, and no token with a digit is in both."""
+    """Both have tokens with digits, they share three tokens or more, and no token with a digit is in both. Texts are only split if both
+    hold a digit, and once."""
     words = lambda t: F.array_distinct(F.filter(F.split(t, "\\s+"), lambda w: w != ""))
-    numbers = lambda t: F.filter(words(t), lambda w: w.rlike("[0-9]"))
-    return (F.size(numbers(a)) > 0) & (F.size(numbers(b)) > 0) & (F.size(F.array_intersect(words(a), words(b))) >= 3) & ~F.arrays_overlap(numbers(a), numbers(b))
+    numbers = lambda t: F.filter(t, lambda w: w.rlike("[0-9]"))
+    differ = lambda p: (F.size(F.array_intersect(p["a"], p["b"])) >= 3) & ~F.arrays_overlap(numbers(p["a"]), numbers(p["b"]))
+    return F.when(a.rlike("[0-9]") & b.rlike("[0-9]"), _let(F.struct(words(a).alias("a"), words(b).alias("b")), differ)).when(a.isNotNull() & b.isNotNull(), False)
 
 
 def heuristic_classify(a: Column, b: Column) -> Column:
     """Struct (verdict: contradiction, revision or neutral; confidence)."""
     a, b = F.lower(a), F.lower(b)
     revision = sum((F.when(a.contains(w) | b.contains(w), 1).otherwise(0) for w in REVISIONS), F.lit(0)) * 0.3
-    asymmetry = F.when((_hits(a, NEGATIONS) == 0) != (_hits(b, NEGATIONS) == 0), 0.35).otherwise(0.0)
+    asymmetry = F.when(_any(a, NEGATIONS) != _any(b, NEGATIONS), 0.35).otherwise(0.0)
     antonyms = sum((F.when((a.contains(x) & b.contains(y)) | (a.contains(y) & b.contains(x)), 1).otherwise(0) for x, y in ANTONYMS), F.lit(0)) * 0.25
     numbers = F.when(numeric_disagreement(a, b), 0.2).otherwise(0.0)
     score = F.least(F.lit(0.75), asymmetry + antonyms + numbers)
@@ -83,7 +92,10 @@ def preview(text: Column, n: int) -> Column:
 
 
 def snippet(text: Column, n: int = 200) -> Column:
-    return F.substring(text, 1, n)
+    """The characters of the text that begin within its first n bytes."""
+    # a string of the first bytes counts a character that they cut as one
+    count = F.length(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string"))
+    return F.when(F.octet_length(text) > n, F.substr(text, F.lit(1), count)).otherwise(text)
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -68,11 +68,24 @@ def export(mem: DataFrame, entity: str | None = None, limit: int = EXPORT_MAX) -
     return some.limit(limit), some.count() > limit
 
 
-def inspect(mem: DataFrame, edges: DataFrame, memory_id: str, now_us: int) -> DataFrame:
-    """A row with its decay as of now and its outgoing edges."""
-    own = edges.where(F.col("src") == memory_id).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("edge_type", "dst", "confidence"))).alias("edges"))
+def inspect(mem: DataFrame, edges: DataFrame, memory_id: str, now_us: int, most: int = 10_000) -> DataFrame:
+    """A row with its decay as of now and its outgoing edges, of a hub the first `most` by type and target (the others by graph.outgoing)."""
+    first = edges.where(F.col("src") == memory_id).orderBy("edge_type", "dst").limit(most)
+    own = first.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("edge_type", "dst", "confidence"))).alias("edges"))
     return get(mem, memory_id).withColumn("decay_now", scoring.decay(now_us)).join(own, F.col("memory_id") == F.col("src"), "left").drop("src")
 
 
+def count_by(mem: DataFrame, *columns: str) -> DataFrame:
+    """Rows for each combination of the columns; in all without any."""
+    return mem.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def content_groups(mem: DataFrame) -> DataFrame:
+    """(content_hash, n, memory_id): how many rows have one content, and the most important of them (ties to the smaller id). Copies meet before
+    the shuffle."""
+    best = F.min_by("memory_id", F.struct((-F.col("importance")).alias("i"), "memory_id"))
+    return mem.groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.count("*").alias("n"), best.alias("memory_id"))
+
+
 def of_tenant(df: DataFrame, tenant: str) -> DataFrame:
     return df.where(F.col("tenant_id") == tenant)

@@ -42,6 +42,11 @@ def drop_edges_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("memory_id").alias("src")), "src", "left_anti").join(ids.select(F.col("memory_id").alias("dst")), "dst", "left_anti").select(*edges.columns)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by the shared checkpoint folder; kept in memory and on local disks where none is set (one machine)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def traverse(edges: DataFrame, seed: str, depth: int, types: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """(memory_id, depth) of what directed edges reach from the seed, which is left out; the least depth counts, then the id."""
     require(1 <= depth <= MAX_DEPTH, f"depth must be within 1..{MAX_DEPTH}")
@@ -53,7 +58,7 @@ def traverse(edges: DataFrame, seed: str, depth: int, types: Sequence[str] | Non
     for d in range(1, depth + 1):
         # only the frontier's edges are read into the join; what was seen before is taken off
         step = hops.join(front.select("memory_id"), "memory_id").select(F.col("dst").alias("memory_id")).distinct().join(seen, "memory_id", "left_anti").withColumn("depth", F.lit(d))
-        front = step.checkpoint() if d > 2 and spark.sparkContext.getCheckpointDir() else step
+        front = _cut(step)  # each hop reads the written fronts, so plans do not grow with the depth
         seen = seen.unionByName(front)
     out = seen.where("depth > 0")
     return out if most is None else out.orderBy("depth", "memory_id").limit(most)
@@ -67,8 +72,9 @@ def subgraph(mem: DataFrame, edges: DataFrame, seed: str, depth: int = 2, nodes:
     return mem.join(F.broadcast(ids), "memory_id"), between
 
 
-def learn_offsets(edges: DataFrame, mem: DataFrame, rate: float = LEARNING_RATE) -> dict[str, list[float]]:
-    """For each edge type the running direction from source to destination, o = unit(o + rate * (dst - src)), in the order of ts_us, src, dst.
+def learn_offsets(edges: DataFrame, mem: DataFrame, rate: float = LEARNING_RATE, start: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
+    """For each edge type the running direction from source to destination, o = unit(o + rate * (dst - src)), in the order of ts_us, src, dst,
+    from the directions of start on. A store folds new edges only, and keeps the result.
 
     The fold depends on the order, so each type is folded by one task over a stream of sorted differences: nine types at most, and a
     task holds one batch at a time."""
@@ -81,7 +87,7 @@ def learn_offsets(edges: DataFrame, mem: DataFrame, rate: float = LEARNING_RATE)
         state: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, d in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                o = state.get(t, 0.0) + rate * np.array(d)
+                o = state.get(t, np.array((start or {}).get(t, 0.0))) + rate * np.array(d)
                 n = np.linalg.norm(o)
                 state[t] = o / n if n > 0 else o
         yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.string()), pa.array([v.tolist() for v in state.values()], pa.list_(pa.float64()))], names=["edge_type", "offset"])
@@ -131,22 +137,19 @@ def similarity_graph(neighbours: DataFrame, edges: DataFrame, least: float = 0.5
     return pairs.unionByName(stored).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_p")
 
 
-def connected(pairs: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, root): the smallest id that undirected pairs (a, b) reach, by minimum labels with pointer jumping."""
-    spark = pairs.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(rounds):
+def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root): the smallest id that undirected pairs (a, b) reach, by minimum labels with pointer jumping, until nothing moves."""
+    both = _cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _cut(nodes.select("id", F.col("id").alias("root")))
+    while True:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         told = labels.join(heard, "id", "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("root").alias("lower"))
-        new = cut(told.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("root"), (F.least("low", F.coalesce("lower", "low")) < F.col("root")).alias("moved")))
+        new = _cut(told.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("root"), (F.least("low", F.coalesce("lower", "low")) < F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         labels = new.select("id", "root")
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def cluster_by_distance(neighbours: DataFrame, nodes: DataFrame, share: float = 0.65, least: int = 3) -> DataFrame:

@@ -18,12 +18,13 @@ SWEEP_EPSILON, AUTO_FORGET_BELOW = 0.001, 0.01
 
 
 def new_ids(now_us: int, key: Column) -> Column:
-    """32 hex digits: milliseconds, then a hash of the row; sorted by time. A row that is computed again gets the same id."""
+    """32 hex digits: milliseconds, then a hash of the key; sorted by time. A row that is computed again gets the same id."""
     return F.concat(F.lpad(F.lower(F.hex(F.lit(now_us // 1000))), 12, "0"), F.substring(F.sha2(F.concat(F.lit(str(now_us)), F.lit("/"), key), 256), 1, 20))
 
 
 def remember(mem: DataFrame, new: DataFrame, now_us: int, tenant: str = "default") -> DataFrame:
-    """mem with the rows of new (content; optional importance, context, entity_id, embedding, kind, device_id, memory_id)."""
+    """mem with the rows of new (content; optional importance, context, entity_id, embedding, kind, device_id, memory_id). Every row without an
+    id gets one of its own, equal rows too: the id's hash is of the row and its number in new, which needs no shuffle."""
     has = set(new.columns)
     get = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in has and default is not None else (F.col(c).cast(kind) if c in has else F.lit(default).cast(kind))
     importance = get("importance", "double", 0.5)
@@ -33,7 +34,7 @@ def remember(mem: DataFrame, new: DataFrame, now_us: int, tenant: str = "default
     context = F.when(F.octet_length(context) > MAX_CONTEXT_BYTES, F.raise_error(F.lit(f"context above {MAX_CONTEXT_BYTES} bytes"))).otherwise(context)
     in_range = F.when((importance < 0) | (importance > 1), F.raise_error(F.lit("importance outside 0..1"))).otherwise(importance)
     vector = F.col("embedding").cast("array<double>") if "embedding" in has else F.lit(None).cast("array<double>")
-    key = F.to_json(F.struct(*sorted(has - {"embedding"})))
+    key = F.concat(F.monotonically_increasing_id().cast("string"), F.lit("/"), F.to_json(F.struct(*sorted(has - {"embedding"}))))
     rows = new.select(
         F.lit(tenant).alias("tenant_id"), (F.col("memory_id") if "memory_id" in has else new_ids(now_us, key)).alias("memory_id"), checked.alias("content"), in_range.alias("importance"), context.alias("context"),
         get("entity_id", "string", None).alias("entity_id"), vector.alias("embedding"), vector.alias("assoc_embedding"), *(F.lit(now_us).cast("long").alias(c) for c in ("created_at", "updated_at", "last_accessed_at")),

@@ -58,14 +58,14 @@ def stats(log: DataFrame) -> DataFrame:
     return sums.withColumn("p99_latency_us", F.lit(percentile(log, "latency_us", 0.99)).cast("long"))
 
 
-def percentile(df: DataFrame, column: str, share: float, ways: int = 4096) -> int | None:
-    """The value at place min(ceil(share * n), n - 1) of the sorted whole numbers of a column, exactly. Each pass counts the rows in
+def percentile(df: DataFrame, column: str, share: float, ways: int = 4096, first: int = 0) -> int | None:
+    """The value at place ceil(share * n), counted from `first` and not beyond the last, of the sorted whole numbers of a column, exactly. Each pass counts the rows in
     `ways` equal ranges and goes on with the one that holds the place: no sort, and at most `ways` rows leave a task."""
     v = F.col(column).cast("long")
     low, high, n = df.agg(F.min(v), F.max(v), F.count(v)).first()
     if not n:
         return None
-    place = min(math.ceil(share * n), n - 1)
+    place = max(0, min(math.ceil(share * n) - first, n - 1))
     while low < high:
         width = -(-(high - low + 1) // ways)
         bucket = F.floor((v - low) / width) if width > 1 else v - low

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import scoring, text
 from engram.functions.scoring import Weights
+from engram.operators import querylog
 from engram.schema import require
 
 LABEL_STOP_WORDS = tuple(sorted({*text.STOP_WORDS, "we", "it", "i", "my", "me", "new", "use", "used", "using", "vs", "via", "per"}))
@@ -95,11 +96,11 @@ def health(sections: DataFrame, mem: DataFrame, now_us: int) -> tuple[DataFrame,
     return stale, sections.where("state = 'orphaned'"), mem.withColumn("decay_now", scoring.decay(now_us)).where(F.col("decay_now") <= FADED)
 
 
-def memory_detail(mem: DataFrame, edges: DataFrame, neighbours: DataFrame, memory_id: str, now_us: int) -> DataFrame:
-    """One row: score breakdown, edges both ways, nearest others, and the sources of an insight."""
+def memory_detail(mem: DataFrame, edges: DataFrame, neighbours: DataFrame, memory_id: str, now_us: int, most: int = 10_000) -> DataFrame:
+    """One row: score breakdown, edges both ways (of a hub the first `most` of each), nearest others, and the sources of an insight."""
     one = mem.where(F.col("memory_id") == memory_id).withColumn("signals", scoring.breakdown(F.lit(0.0), now_us)).withColumn("decay_now", scoring.decay(now_us))
-    out = edges.where(F.col("src") == memory_id).agg(F.array_sort(F.collect_list(F.struct("edge_type", "dst", "confidence"))).alias("outgoing"))
-    into = edges.where(F.col("dst") == memory_id).agg(F.array_sort(F.collect_list(F.struct("edge_type", "src", "confidence"))).alias("incoming"))
+    out = edges.where(F.col("src") == memory_id).orderBy("edge_type", "dst").limit(most).agg(F.array_sort(F.collect_list(F.struct("edge_type", "dst", "confidence"))).alias("outgoing"))
+    into = edges.where(F.col("dst") == memory_id).orderBy("edge_type", "src").limit(most).agg(F.array_sort(F.collect_list(F.struct("edge_type", "src", "confidence"))).alias("incoming"))
     near = neighbours.where(F.col("id") == memory_id).agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("neighbours"))
     sources = edges.where((F.col("src") == memory_id) & (F.col("edge_type") == "insight_from")).agg(F.array_sort(F.collect_list("dst")).alias("sources"))
     for part in (out, into, near, sources):  # one row each
@@ -119,14 +120,19 @@ def cluster_labels(items: DataFrame) -> DataFrame:
 
 
 def cluster_labels_by(items: DataFrame, name: Callable[[Sequence[str]], str], sample: int = 20) -> DataFrame:
-    """Labels by a callable over up to `sample` labels of each cluster; falls back to nothing if it fails."""
-    import pandas as pd
+    """Labels by a callable over up to `sample` labels of each cluster; where it fails or gives nothing, those of cluster_labels()."""
+    def call(labels):
+        def one(xs) -> str | None:
+            try:
+                return name(list(xs)) or None
+            except Exception:  # a model may fail in any way; the heuristic label stands in
+                return None
 
-    def call(labels: pd.Series) -> pd.Series:
-        return labels.map(lambda xs: name(list(xs)))
+        return labels.map(one)
 
     head = items.where("cluster >= 0").withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy("label"))).where(F.col("r") <= sample)
-    return head.groupBy("cluster").agg(F.array_sort(F.collect_list("label")).alias("labels")).select("cluster", F.pandas_udf(call, "string")("labels").alias("label"))
+    named = head.groupBy("cluster").agg(F.array_sort(F.collect_list("label")).alias("labels")).select("cluster", F.pandas_udf(call, "string", F.PandasUDFType.SCALAR)("labels").alias("_own"))
+    return named.join(cluster_labels(items), "cluster", "left").select("cluster", F.coalesce("_own", "label").alias("label"))
 
 
 def insights(mem: DataFrame, entity: str | None = None, least_importance: float = 0.0, limit: int = 100, rank_first: bool = False) -> DataFrame:
@@ -157,4 +163,6 @@ def status(sections: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(*(F.expr(f"percentile_disc({p}) within group (order by {column})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))))
+    """One row: p50, p95, p99 and p999 of a column of whole numbers, exactly, by histograms in passes (querylog.percentile)."""
+    found = {n: querylog.percentile(df, column, p, first=1) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))}
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{n} long" for n in found))

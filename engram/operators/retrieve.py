@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import scoring, vec
 from engram.functions.scoring import Weights
+from engram.operators import graph
 from engram.schema import DAY_US, FOREVER, MAX_PRIME, STRATEGIES, check_top_k, require
 
 OVERSAMPLE = 4
@@ -52,7 +53,7 @@ def temporal(mem: DataFrame, entity: str, k: int = 10, start: int = 0, end: int
 
 def causal(mem: DataFrame, seed: Sequence[float], seed_id: str, offsets: dict[str, Sequence[float]], k: int = 10, types: Sequence[str] | None = None, direction: str = "both", entity: str | None = None) -> DataFrame:
     """Neighbours of seed + offset (forward) and seed - offset (backward) for each edge type with a learned offset: k for each,
-    the first in the order of types and directions wins, then the k most relevant."""
+    the first in the order of types and directions wins, then the k most relevant (mem's columns, distance, edge_type, relevance, strategy)."""
     check_top_k(k)
     require(direction in ("forward", "backward", "both"), f"direction {direction!r}")
     probes = []
@@ -60,20 +61,23 @@ def causal(mem: DataFrame, seed: Sequence[float], seed_id: str, offsets: dict[st
         if t in offsets:
             for sign in {"forward": (1,), "backward": (-1,), "both": (1, -1)}[direction]:
                 probes.append((t, vec.normalized([s + sign * o for s, o in zip(seed, offsets[t], strict=True)])))
-    base = _entity(mem, entity).where(F.col("memory_id") != seed_id)
-    found = None
-    for order, (t, cue) in enumerate(probes):
-        hits = search_similar(base, cue, k, "assoc_embedding").withColumn("probe", F.lit(order)).withColumn("edge_type", F.lit(t))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not probes:
         return mem.limit(0).withColumn("edge_type", F.lit("")).withColumn("relevance", F.lit(0.0)).withColumn("strategy", F.lit("causal"))
-    first = found.withColumn("_r", F.row_number().over(W.partitionBy("memory_id").orderBy("probe", "distance"))).where("_r = 1").drop("_r", "probe")
-    return first.withColumn("relevance", F.greatest(F.lit(0.0), 1 - F.col("distance"))).orderBy(F.desc("relevance"), "memory_id").limit(k).withColumn("strategy", F.lit("causal"))
+    # one scan: the distances to all probes, then k for each probe with a limit in every task, of ids and numbers only
+    base = _entity(mem, entity).where(F.col("memory_id") != seed_id)
+    each = F.array(*(F.struct(F.lit(order).alias("probe"), F.lit(t).alias("edge_type"), vec.distance(F.col("assoc_embedding"), cue).alias("distance")) for order, (t, cue) in enumerate(probes)))
+    flat = base.select("memory_id", F.explode(each).alias("p")).select("memory_id", "p.*").where(F.col("distance").isNotNull())
+    near = flat.withColumn("_r", F.row_number().over(W.partitionBy("probe").orderBy("distance", "memory_id"))).where(F.col("_r") <= k)
+    first = near.groupBy("memory_id").agg(F.min(F.struct("probe", "distance", "edge_type")).alias("p")).select("memory_id", "p.distance", "p.edge_type")
+    best = first.withColumn("relevance", F.greatest(F.lit(0.0), 1 - F.col("distance"))).orderBy(F.desc("relevance"), "memory_id").limit(k)
+    # k rows, so they may be broadcast whatever mem holds
+    return mem.join(F.broadcast(best), "memory_id").withColumn("strategy", F.lit("causal"))
 
 
-def causal_by_edges(mem: DataFrame, visited: DataFrame, max_depth: int, k: int = 10) -> DataFrame:
+def causal_by_edges(mem: DataFrame, visited: DataFrame, max_depth: int, k: int = 10, entity: str | None = None) -> DataFrame:
     """For a seed without embedding: rows reached over edges (graph.traverse), the nearer the more relevant."""
-    near = visited.orderBy("depth", "memory_id").limit(k)
+    reached = visited if entity is None else visited.join(_entity(mem, entity).select("memory_id"), "memory_id", "left_semi")
+    near = reached.orderBy("depth", "memory_id").limit(k)
     return mem.join(F.broadcast(near), "memory_id").withColumn("relevance", F.greatest(F.lit(0.0), 1 - F.col("depth") / max_depth)).withColumn("strategy", F.lit("causal"))
 
 
@@ -135,8 +139,9 @@ class Recall:
         return {name: df.count() >= self.k for name, df in self.parts.items()}
 
 
-def recall(mem: DataFrame, strategies: Sequence[str], now_us: int, cue: Sequence[float] | Callable[[], Sequence[float]] | None = None, k: int = 10, entity: str | None = None, weights: Weights = Weights(), context: dict | None = None, alpha: float = 0.5, time_range: tuple[int, int] = (0, FOREVER), offsets: dict | None = None, seed_id: str | None = None, edge_types: Sequence[str] | None = None, direction: str = "both") -> Recall:
-    """Run the strategies and merge. The cue is embedded once; a strategy that fails is named in errors, the others count."""
+def recall(mem: DataFrame, strategies: Sequence[str], now_us: int, cue: Sequence[float] | Callable[[], Sequence[float]] | None = None, k: int = 10, entity: str | None = None, weights: Weights = Weights(), context: dict | None = None, alpha: float = 0.5, time_range: tuple[int, int] = (0, FOREVER), offsets: dict | None = None, seed_id: str | None = None, edge_types: Sequence[str] | None = None, direction: str = "both", edges: DataFrame | None = None, max_depth: int = 5) -> Recall:
+    """Run the strategies and merge. The cue is embedded once; a strategy that fails is named in errors, the others count. Causal recall from
+    a seed without embedding walks the edges instead, max_depth hops at most."""
     check_top_k(k)
     require(len(strategies) > 0 and all(s in STRATEGIES for s in strategies), f"strategies {strategies!r}")
     failed = None
@@ -159,7 +164,10 @@ def recall(mem: DataFrame, strategies: Sequence[str], now_us: int, cue: Sequence
                 parts[s] = analogical(mem, vector, context, k, entity, alpha)
             else:
                 seed = resolve_seed(mem, vector, seed_id, None, entity)
-                if seed:
+                if seed and seed[1] is None:
+                    require(edges is not None, "the seed has no embedding, and there are no edges to walk")
+                    parts[s] = causal_by_edges(mem, graph.traverse(edges, seed[0], max_depth, edge_types), max_depth, k, entity)
+                elif seed:
                     parts[s] = causal(mem, seed[1], seed[0], offsets or {}, k, edge_types, direction, entity)
         except ValueError as e:
             errors[s] = str(e)
@@ -193,6 +201,17 @@ def across(stores: dict[str, DataFrame], k: int) -> DataFrame:
     return union.orderBy(F.desc("score"), "store", "memory_id").limit(k)
 
 
+def prime_across(stores: dict[str, DataFrame], entity: str, cue: Sequence[float], now_us: int, most: int = 20, **how) -> DataFrame:
+    """prime() over several stores: each store's rows in its order, the stores in theirs, `most` in all, each content once."""
+    union = None
+    for n, (name, mem) in enumerate(stores.items()):
+        part = prime(mem, entity, cue, now_us, most, **how).withColumn("store", F.lit(name)).withColumn("_n", F.lit(n))
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    place = F.struct(F.when(F.col("section") == "temporal", 0).otherwise(1), "ord", "_n", "memory_id")
+    first = union.withColumn("_r", F.row_number().over(W.partitionBy(F.sha2("content", 256)).orderBy(place))).where("_r = 1").drop("_r")
+    return first.orderBy(place).limit(most).drop("_n")
+
+
 def contradictions_among(results: DataFrame, edges: DataFrame) -> DataFrame:
     """Unordered pairs of results that a `contradicts` edge joins."""
     ids = results.select("memory_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,9 +192,9 @@ def prime_entity(spark, d):
     return retrieve.prime(mev(spark, d), USER, fixtures.vector(spark, d, CUE), NOW_US).select("memory_id", "section", F.col("ord").cast("long").alias("ord"), six("relevance"))
 
 
-@query(f"with {SQL_ALL}, r as (select memory_id from m where event_id < 400), p as (select least(src, dst) as a, greatest(src, dst) as b, confidence from edges where edge_type = 'contradicts' and src in (select memory_id from r) and dst in (select memory_id from r)) select a, b, max(confidence) as confidence from p group by a, b")
+@query(f"with {SQL_ALL}, p as (select least(src, dst) as a, greatest(src, dst) as b, confidence from edges where edge_type = 'contradicts' and src in (select memory_id from m where tenant_id = 'default') and dst in (select memory_id from m where tenant_id = 'default')) select a, b, max(confidence) as confidence from p group by a, b")
 def contradictions_in_results(spark, d):
-    return retrieve.contradictions_among(mem(spark, d).where("event_id < 400"), fixtures.edges(spark, d))
+    return retrieve.contradictions_among(access.of_tenant(mem(spark, d), "default"), fixtures.edges(spark, d))
 
 
 @query(f"with {SQL_V}, h as (select *, {_DIST} as dist from v order by dist, memory_id limit 10) select m.memory_id, m.access_count + case when h.memory_id is null then 0 else 1 end as access_count, case when h.memory_id is null then m.last_accessed_at else {NOW_US} end as last_accessed_at from m left join h on m.memory_id = h.memory_id")
@@ -352,7 +353,7 @@ def list_entities(spark, d):
 
 @query(f"with {SQL_M} select kind, tenant_id, count(*) as n from m group by kind, tenant_id")
 def count_by_kind(spark, d):
-    return mem(spark, d).groupBy("kind", "tenant_id").agg(F.count("*").alias("n"))
+    return access.count_by(mem(spark, d), "kind", "tenant_id")
 
 
 @query(f"with {SQL_M} select memory_id, created_at from m where entity_id = '{USER}' and created_at >= {NOW_US - 25 * DAY} and created_at < {NOW_US - 3 * DAY}")
@@ -419,7 +420,7 @@ def gc_tombstones(spark, d):
     return lifecycle.gc_tombstones(marks, NOW_US, 10)
 
 
-_REV = f"c as (select memory_id as id, 'revised ' || content as content, json_object('k', k + 1, 'note', 'x') as context from m where event_id % 100 = 3)"
+_REV = f"c as (select memory_id as id, 'revised ' || content as content, json_object('k', k + 1, 'note', 'x') as context from m where kind = 'proposition')"
 
 
 @query(f"with {SQL_M}, {_REV} select m.memory_id, coalesce(c.content, m.content) as content, case when c.id is null then m.kind else 'revision' end as kind, case when c.id is null then m.k else m.k + 1 end as k, case when c.id is not null then 'x' end as note, m.created_at, case when c.id is null then m.updated_at else {NOW_US} end as updated_at from (select *, created_at as updated_at from m) m left join c on c.id = m.memory_id")
@@ -430,20 +431,20 @@ def revise_context_merge(spark, d):
 
 def _revised(m: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = m.withColumn("is_snapshot", F.lit(False))
-    changes = m.where("event_id % 100 = 3").select("memory_id", F.concat(F.lit("revised "), F.col("content")).alias("content"), F.to_json(F.struct((F.col("k") + 1).alias("k"), F.lit("x").alias("note"))).alias("context"))
+    changes = m.where("kind = 'proposition'").select("memory_id", F.concat(F.lit("revised "), F.col("content")).alias("content"), F.to_json(F.struct((F.col("k") + 1).alias("k"), F.lit("x").alias("note"))).alias("context"))
     return lifecycle.revise(m, edges, changes, NOW_US)
 
 
-@query(f"with {SQL_M} select memory_id as owner, content, kind, {NOW_US}::bigint as ts_us from m where event_id % 100 = 3")
+@query(f"with {SQL_M} select memory_id as owner, content, kind, {NOW_US}::bigint as ts_us from m where kind = 'proposition'")
 def revise_snapshots(spark, d):
     m, edges = _revised(mem(spark, d), fixtures.edges(spark, d))
     links = edges.where("edge_type = 'revised_from'").select(F.col("src").alias("owner"), F.col("dst").alias("memory_id"), "ts_us")
     return m.where("is_snapshot").join(links, "memory_id").select("owner", "content", "kind", "ts_us")
 
 
-@query(f"with {SQL_M}, e as (select 'o' || (event_id % 50) as owner, memory_id as snapshot from m where event_id < 1000) select owner, snapshot from (select *, row_number() over (partition by owner order by snapshot desc) as r from e) z where r > 5")
+@query(f"with {SQL_M}, e as (select entity_id as owner, memory_id as snapshot from m) select owner, snapshot from (select *, row_number() over (partition by owner order by snapshot desc) as r from e) z where r > 5")
 def snapshot_prune(spark, d):
-    links = mem(spark, d).where("event_id < 1000").select(F.concat(F.lit("o"), (F.col("event_id") % 50).cast("string")).alias("src"), F.col("memory_id").alias("dst"), F.lit("revised_from").alias("edge_type"))
+    links = mem(spark, d).select(F.col("entity_id").alias("src"), F.col("memory_id").alias("dst"), F.lit("revised_from").alias("edge_type"))
     return lifecycle.surplus_snapshots(links, 5)
 
 
@@ -528,9 +529,7 @@ def text_hashes(spark, d):
 
 @query(f"with {SQL_D} select content_hash, n, memory_id from (select sha256(content) as content_hash, count(*) over (partition by sha256(content)) as n, memory_id, row_number() over (partition by sha256(content) order by importance desc, memory_id) as r from d) z where r = 1")
 def content_dedup(spark, d):
-    docs = fixtures.document_memories(spark, d).withColumn("content_hash", F.sha2("content", 256))
-    best = F.min_by("memory_id", F.struct((-F.col("importance")).alias("i"), "memory_id"))  # an aggregate: copies meet before the shuffle
-    return docs.groupBy("content_hash").agg(F.count("*").alias("n"), best.alias("memory_id"))
+    return access.content_groups(fixtures.document_memories(spark, d))
 
 
 # ---- reports
@@ -581,12 +580,12 @@ def insight_lineage(spark, d):
     return rows.select("memory_id", F.array_join("source_memory_ids", ",").alias("sources"))
 
 
-_LBL = f"w as (select label as cluster, unnest(regexp_split_to_array(t, '\\s+')) as word from (select doc_id % 10 as label, substr(text, 1, 60) as t from documents) z), c as (select cluster, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}_-]', '', 'g')) as word from w), f as (select * from c where octet_length(encode(word)) >= 2 and not list_contains({_list(reports.LABEL_STOP_WORDS)}, word)), g as (select cluster, word, count(*) as n, row_number() over (partition by cluster order by count(*) desc, word) as r from f group by cluster, word)"
+_LBL = f"w as (select label as cluster, unnest(regexp_split_to_array(t, '\\s+')) as word from (select doc_id % 10 as label, text as t from documents) z), c as (select cluster, lower(regexp_replace(word, '[^\\p{{L}}\\p{{N}}_-]', '', 'g')) as word from w), f as (select * from c where octet_length(encode(word)) >= 2 and not list_contains({_list(reports.LABEL_STOP_WORDS)}, word)), g as (select cluster, word, count(*) as n, row_number() over (partition by cluster order by count(*) desc, word) as r from f group by cluster, word)"
 
 
 @query(f"with {_LBL}, t as (select cluster, max(n) filter (r = 2) = max(n) filter (r = 3) as tie from g where r <= 3 group by cluster) select cluster, string_agg(upper(substr(word, 1, 1)) || substr(word, 2), ' & ' order by r) as label from g join t using (cluster) where r <= 2 or (r = 3 and tie) group by cluster")
 def cluster_labels(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 10).alias("cluster"), F.substring("text", 1, 60).alias("label"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 10).alias("cluster"), F.col("text").alias("label"))
     return reports.cluster_labels(docs)
 
 
@@ -624,12 +623,6 @@ def reflect_scope(spark, d):
     return reflect.scope(mev(spark, d), since_us=NOW_US - 20 * DAY).select("memory_id", "created_at")
 
 
-@query(f"with {SQL_M} select k, case when count(distinct entity_id) = 1 then min(entity_id) end as entity from m where event_id % 700 < 2 group by k")
-def infer_entity(spark, d):
-    rows = mem(spark, d).where("event_id % 700 < 2").groupBy("k").agg(F.countDistinct("entity_id").alias("n"), F.min("entity_id").alias("e"))
-    return rows.select("k", F.when(F.col("n") == 1, F.col("e")).alias("entity"))
-
-
 @query()
 def kmeans_reflect(spark, d):
     import numpy as np
@@ -691,13 +684,13 @@ def bloom_reject_count(spark, d):
 
 
 @query(
-    f"with {SQL_V}, c as (select vec_id as chunk_id, cast(embedding as double[]) as e from embeddings where vec_id < 20), p as (select chunk_id, memory_id, greatest(0.0::double, list_dot_product(e, embedding)) as confidence from c, v where kind in ('episode', 'insight', 'revision')), r as (select *, row_number() over (partition by chunk_id order by round(confidence, 9) desc, memory_id) as r from p) select chunk_id, memory_id, round(confidence, 6) as confidence from r where r <= 5 and round(confidence, 9) >= 0.6"
+    f"with {SQL_V}, c as (select vec_id as chunk_id, cast(embedding as double[]) as e from embeddings where vec_id % 3 <> 1), p as (select chunk_id, memory_id, greatest(0.0::double, list_dot_product(e, embedding)) as confidence from c, v where kind in ('episode', 'insight', 'revision')), r as (select *, row_number() over (partition by chunk_id order by round(confidence, 9) desc, memory_id) as r from p) select chunk_id, memory_id, round(confidence, 6) as confidence from r where r <= 5 and round(confidence, 9) >= 0.6"
 )
 def subscribe_batch_matches(spark, d):
-    chunks = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 20").select(F.col("vec_id").alias("chunk_id"), F.lit("click purchase").alias("chunk"), F.col("embedding").cast("array<double>").alias("embedding"))
+    chunk = F.when(F.col("vec_id") % 3 == 0, "a click, then").when(F.col("vec_id") % 3 == 1, "nothing that is known").otherwise("the last purchase")
+    chunks = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), chunk.alias("chunk"), F.col("embedding").cast("array<double>").alias("embedding"))
     m = mev(spark, d)
-    words = spark.createDataFrame([("click",)], "word string")
-    return subscribe.matches(chunks, m, words, []).select("chunk_id", "memory_id", six("confidence"))
+    return subscribe.matches(chunks, m, subscribe.scope_keywords(m), []).select("chunk_id", "memory_id", six("confidence"))
 
 
 @query()
@@ -707,8 +700,10 @@ def hash_embeddings(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("engram.plans.more")  # registers the others
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("engram.plans.more")
     return dict(_SQL)

@@ -12,11 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.functions import text as texts
 from engram.functions import vec
+from engram.schema import require
 
+MAX_SUBSCRIPTIONS, REFRESH_US, REFRESH_WRITES = 100, 60_000_000, 100
 FLUSH_TOKENS, LEAST_TOKENS, FLUSH_MS, MOST_BYTES = 15, 3, 500, 64 * 1024
 LEAST_CENTROID, LEAST_CONFIDENCE, NEIGHBOURS, QUEUE = 0.15, 0.60, 5, 100
 KINDS = ("episode", "insight", "revision")
@@ -120,8 +123,10 @@ def matches(chunks: DataFrame, mem: DataFrame, keywords: DataFrame, centre: Sequ
     return nearest(passed, scope, k).where(F.round("confidence", 9) >= least)
 
 
-def nearest(chunks: DataFrame, scope: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """(chunk_id, memory_id, confidence): the k nearest rows of scope for each chunk; scope is dealt into blocks, each of which sees all chunks."""
+def nearest(chunks: DataFrame, scope: DataFrame, k: int, block_rows: int = 50_000) -> DataFrame:
+    """(chunk_id, memory_id, confidence): the k nearest rows of scope for each chunk; scope is dealt into blocks by its size, each of which sees
+    all chunks, which are those of one micro-batch."""
+    blocks = max(1, -(-scope.count() // block_rows))
     left = chunks.select("chunk_id", F.col("embedding").alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = scope.select("memory_id", F.col("embedding").alias("v")).withColumn("block", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)).cast("int"))
 
@@ -140,12 +145,54 @@ def nearest(chunks: DataFrame, scope: DataFrame, k: int, blocks: int = 64) -> Da
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, f"chunk_id {kind}, memory_id string, confidence double")
-    from pyspark.sql import Window as W
-
     best = W.partitionBy("chunk_id").orderBy(F.desc(F.round("confidence", 9)), "memory_id")
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
+def stages(chunks: DataFrame, keywords: DataFrame, centre: Sequence[float]) -> DataFrame:
+    """chunks with `stage`, what stops them: bloom (no keyword of the scope), coarse (far from its centroid) or null (they go on)."""
+    heard = chunks.select("chunk_id", F.explode(texts.keywords(F.col("chunk"))).alias("word")).join(keywords, "word", "left_semi").select("chunk_id").distinct().withColumn("_heard", F.lit(True))
+    far = vec.dot(F.col("embedding"), list(centre)) < LEAST_CENTROID if len(centre) else F.lit(False)
+    return chunks.join(heard, "chunk_id", "left").withColumn("stage", F.when(F.col("_heard").isNull(), "bloom").when(far, "coarse")).drop("_heard")
+
+
+def stats(staged: DataFrame, pushes: DataFrame, capacity: int = QUEUE) -> DataFrame:
+    """A row for each subscription: chunks processed, rejected by keywords and by the centroid, pushes sent, and dropped from its ring."""
+    c = staged.groupBy("subscription").agg(F.count("*").alias("chunks_processed"), F.count_if(F.col("stage") == "bloom").alias("chunks_bloom_rejected"), F.count_if(F.col("stage") == "coarse").alias("chunks_coarse_rejected"))
+    p = pushes.groupBy("subscription").agg(F.count("*").alias("pushes_sent"), F.greatest(F.lit(0), F.count("*") - capacity).alias("pushes_dropped"))
+    none = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    return c.join(p, "subscription", "full_outer").select("subscription", *map(none, ("chunks_processed", "chunks_bloom_rejected", "chunks_coarse_rejected", "pushes_sent", "pushes_dropped")))
+
+
+def new_writes(written: DataFrame, contexts: DataFrame) -> DataFrame:
+    """written: new rows of the memory table, a micro-batch; contexts: a row for each open subscription (subscription, tenant_id, entity_id or null, kinds,
+    since_us or null, embedding of its last chunk). (subscription, memory_id, confidence) of the rows that are in the scope of a subscription and near
+    enough to what it heard last. Subscriptions are bounded (MAX_SUBSCRIPTIONS) and meet the rows of their tenant."""
+    c = contexts.select("subscription", "tenant_id", F.col("entity_id").alias("_entity"), "kinds", "since_us", F.col("embedding").alias("_heard"))
+    both = written.where("embedding is not null").join(F.broadcast(c), "tenant_id")
+    inside = (F.col("_entity").isNull() | (F.col("entity_id") == F.col("_entity"))) & F.array_contains("kinds", F.col("kind")) & (F.col("since_us").isNull() | (F.col("created_at") >= F.col("since_us")))
+    near = both.where(inside).withColumn("confidence", vec.dot_relevance(F.col("embedding"), F.col("_heard")))
+    return near.where(F.round("confidence", 9) >= LEAST_CONFIDENCE).select("subscription", "memory_id", "confidence")
+
+
+def open_subscription(held: DataFrame, new: DataFrame, most: int = MAX_SUBSCRIPTIONS) -> DataFrame:
+    """The registry (subscription, ...) with new ones, of which there may be `most` in all."""
+    known = held.count()
+    require(known + new.count() <= most, f"at most {most} subscriptions")
+    require(new.join(held.select("subscription"), "subscription", "left_semi").limit(1).count() == 0, "the subscription is open already")
+    return held.unionByName(new)
+
+
+def refresh_due(last_us: int, writes: int, now_us: int) -> bool:
+    """Whether a scope's keywords and centroid are to be made anew: after a minute, or 100 writes in the scope."""
+    return now_us - last_us >= REFRESH_US or writes >= REFRESH_WRITES
+
+
+def reset_dedup(pushed: DataFrame, subscription: str) -> DataFrame:
+    """What was pushed, without that of a subscription, so that it may be pushed to it again."""
+    return pushed.where(F.col("subscription") != subscription)
+
+
 def not_pushed(found: DataFrame, pushed: DataFrame) -> DataFrame:
     """Matches whose memory was not pushed to the subscription before."""
     return found.join(pushed.select("subscription", "memory_id"), ["subscription", "memory_id"], "left_anti")
@@ -153,8 +200,6 @@ def not_pushed(found: DataFrame, pushed: DataFrame) -> DataFrame:
 
 def ring(pushes: DataFrame, capacity: int = QUEUE) -> DataFrame:
     """The newest pushes of each subscription, and how many were dropped."""
-    from pyspark.sql import Window as W
-
     newest = W.partitionBy("subscription").orderBy(F.desc("ts_us"), "memory_id")
     kept = pushes.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= capacity).drop("r")
     total = pushes.groupBy("subscription").agg(F.greatest(F.lit(0), F.count("*") - capacity).alias("dropped"))

@@ -124,10 +124,108 @@ def test_stale_writer_fails(spark, tmp_path):
     t.commit({"a": df}, 0)
     t.commit({"b": df}, 1)
     with pytest.raises(Conflict):
-        t.commit({"a": df}, 1)
-    assert t.manifest() == {"a": 1, "b": 2} and t.read("a").count() == 3
+        t.commit({"a": spark.range(100, 107)}, 1)
+    assert t.version() == 2 and t.read("a").count() == 3 and t.read("b").count() == 3  # the winners' rows are still there
     t.commit({"a": df.limit(1)}, 2)
-    assert t.vacuum(keep=1) == [1] and t.read("b").count() == 3
+    assert len(t.vacuum(keep=1)) == 2 and t.read("b").count() == 3 and t.read("a").count() == 1  # the first "a", and what the loser wrote
+
+
+def test_two_writers_on_one_version(spark, tmp_path):
+    one, two = (TableStore(spark, str(tmp_path / "t")) for _ in range(2))
+    base = one.version()
+    one.commit({"a": spark.range(10)}, base)
+    with pytest.raises(Conflict):
+        two.commit({"a": spark.range(50, 55)}, base)
+    assert [r.id for r in two.read("a").orderBy("id").collect()] == list(range(10))
+    assert two.commit({}, base, {"a": spark.range(90, 92)}) == 2  # what only appends goes on top
+    assert one.read("a").count() == 12 and one.read("a", 1).count() == 10
+
+
+def test_recall_appends_accesses_only(spark, tmp_path):
+    s, other = (MemoryStore.open(spark, str(tmp_path / "s"), t) for t in ("a", "b"))
+    s.remember([{"content": "cats purr"}, {"content": "dogs bark"}], NOW)
+    other.remember([{"content": "cats purr"}], NOW)
+    before = s.tables.manifest()
+    for k in range(3):
+        s.recall("cats purr", NOW + k, k=1)
+    after = s.tables.manifest()
+    assert all(after[t] == parts for t, parts in before.items()) and len(after["accesses@a"]) == 3
+    assert sorted((r.access_count, r.last_accessed_at) for r in s.memories().collect()) == [(0, NOW), (3, NOW + 2)]
+    s.compact()
+    assert s.tables.manifest()["accesses@a"] == [] and sorted(r.access_count for r in s.memories().collect()) == [0, 3]
+    assert [r.access_count for r in other.memories().collect()] == [0]
+    assert s.forget(NOW + 9, kind="episode") == 2 and other.tombstones().count() == 0 and other.count() == 1
+
+
+def test_equal_rows_have_ids_of_their_own(spark):
+    rows = [{"content": "same", "entity_id": "e"}] * 40
+    assert memories(spark, rows).select("memory_id").distinct().count() == 40
+
+
+def test_policy_has_effect(spark, tmp_path):
+    s = MemoryStore.open(spark, str(tmp_path / "s"))
+    s.remember([{"content": "v0", "memory_id": "a" * 32}], NOW)
+    s.set_policy(lifecycle.Policy(max_snapshots=2, auto_forget_below=0.2, half_life_us=schema.DAY_US))
+    for k in range(1, 5):
+        s.revise("a" * 32, NOW + k * 1_000_000, content=f"v{k}")
+    kept = s.memories().where("is_snapshot")
+    assert sorted(r.content for r in kept.collect()) == ["v2", "v3"] and s.edges().count() == 2
+    s.sweep(NOW + 10 * schema.DAY_US)
+    assert s.get("a" * 32).first().decay_score < 0.01
+    assert s.auto_forget(NOW + 10 * schema.DAY_US) >= 1 and s.count() == 0
+
+
+def test_offsets_are_learnt_once_and_stored(spark, tmp_path):
+    s = MemoryStore.open(spark, str(tmp_path / "s"))
+    ids = [format(i, "032x") for i in range(4)]
+    x = np.eye(4)
+    s.remember([{"memory_id": i, "content": f"m{k}", "embedding": x[k].tolist()} for k, i in enumerate(ids)], NOW)
+    s.remember([{"content": "more", "embedding": [0.5] * 4}], NOW + 1, [(ids[0], ids[1], "caused_by", 1.0)])
+    s.remember([{"content": "again", "embedding": [-0.5] * 4}], NOW + 2, [(ids[1], ids[2], "caused_by", 1.0)])
+    want = graph.learn_offsets(s.edges(), s.memories())
+    assert np.allclose(s.offsets()["caused_by"], want["caused_by"]) and s.edges().count() == 2
+
+
+def test_causal_recall_without_embedding_walks_edges(spark):
+    ids = [format(i, "032x") for i in range(4)]
+    m = memories(spark, [{"memory_id": i, "content": f"m{k}", "embedding": None if k == 0 else [1.0, float(k)]} for k, i in enumerate(ids)])
+    e = spark.createDataFrame([("t", ids[k], ids[k + 1], "caused_by", 1.0, k) for k in range(3)], schema.EDGES)
+    r = retrieve.recall(m, ["causal"], NOW, None, 5, seed_id=ids[0], edges=e, max_depth=2)
+    assert {(x.memory_id, x.relevance) for x in r.results.collect()} == {(ids[1], 0.5), (ids[2], 0.0)}
+    r = retrieve.recall(m, ["causal", "similarity"], NOW, [1.0, 0.0], 5, seed_id=ids[0])
+    assert list(r.errors) == ["causal"] and r.results.count() > 0
+
+
+def test_priming_over_stores(spark):
+    one = memories(spark, [{"content": f"one {k}", "entity_id": "e", "embedding": [1.0, 0.0]} for k in range(4)])
+    two = memories(spark, [{"content": "one 1", "entity_id": "e", "embedding": [1.0, 0.0]}, {"content": "two", "entity_id": "e", "embedding": [0.0, 1.0]}])
+    rows = retrieve.prime_across({"a": one, "b": two}, "e", [1.0, 0.0], NOW + 1, 4).collect()
+    assert len(rows) == 4 and len({r.content for r in rows}) == 4
+
+
+def test_facade_subscribes_and_reflects(spark, tmp_path):
+    s = MemoryStore.open(spark, str(tmp_path / "s"))
+    rng = np.random.default_rng(2)
+    s.remember([{"content": f"budget plan {i}", "entity_id": "e", "embedding": (np.eye(64)[i % 2] + rng.uniform(-0.1, 0.1, 64)).tolist()} for i in range(12)], NOW)
+    assert s.reflect(NOW + 1, llm_api.MockProvider(), "e") >= 1 and s.insights().count() >= 1 and s.edges().where("edge_type = 'insight_from'").count() >= 6
+    chunks = spark.createDataFrame([("c", "the budget", np.eye(64)[0].tolist())], "chunk_id string, chunk string, embedding array<double>")
+    assert s.subscribe(chunks, least=0.5).count() >= 1
+
+
+def test_snippets_are_cut_by_bytes(spark):
+    df = spark.createDataFrame([("abc",), ("aéé",), ("é" * 5,), (None,)], "t string")
+    assert [r[0] for r in df.select(text.snippet(F.col("t"), 3)).collect()] == ["abc", "aé", "éé", None]
+
+
+def test_labels_fall_back(spark):
+    items = spark.createDataFrame([(0, "Budget plan"), (0, "Budget team"), (1, "Zebra")], "cluster int, label string")
+
+    def name(labels):
+        if "Zebra" in labels:
+            raise RuntimeError("no model")
+        return "Money"
+
+    assert {(r.cluster, r.label) for r in reports.cluster_labels_by(items, name).collect()} == {(0, "Money"), (1, "Zebra")}
 
 
 def test_limits_are_enforced(spark):
