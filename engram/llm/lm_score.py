@@ -270,6 +270,7 @@ class Rules:
 
     def __init__(self, buckets: int, hot: int, min_gain: float):
         self.buckets, self.hot, self.min_gain = buckets, hot, min_gain
+        self.tasks = min(buckets, 50_000)  # of a shuffle: their number follows the corpus, so what one reads does not
         self.tokens = self.kinds = 0
         self.hot_states: list[dict[int, int]] = []  # for each level the hot contexts that are states, and the kinds that follow
 
@@ -335,7 +336,7 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: in
     made = rows.mapInArrow(send, f"batch long, bucket int, context binary, learnt binary, sizes binary, train binary, hashes binary, symbols binary, ids array<{kind}>")
     sent, drop = bucketed(made.withColumn("texts", (F.col("bucket") < 0).cast("int")), "batches", "batch", rules.buckets, "texts")
     docs = sent.where("texts = 1").select("batch", "ids", "sizes", "train", "hashes", "symbols")
-    words = materialize(sent.where("texts = 0").select("batch", "bucket", "context", "learnt").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
+    words = materialize(sent.where("texts = 0").select("batch", "bucket", "context", "learnt").repartition(rules.tasks, "bucket").groupBy("bucket").applyInArrow(total_words, _ANSWER), "words")
     drop(0)
     release(rows.sparkSession)
     rules.tokens, rules.kinds = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
@@ -355,7 +356,7 @@ def score(df: DataFrame, id_col: str, text_col: str, is_train: Column, depth: in
 
     for level in range(1, depth + 1):
         asked = docs.drop("ids").groupBy("batch").cogroup(heard.groupBy("batch")).applyInArrow(ask(level), _ASKED)
-        found = materialize(asked.groupBy("bucket").applyInArrow(lambda t: total_pairs(t, min_gain), _ANSWER), "pairs")
+        found = materialize(asked.repartition(rules.tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: total_pairs(t, min_gain), _ANSWER), "pairs")
         release(rows.sparkSession)
         sums = found.where("batch < 0 and size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_kinds", "hot_gain")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_kinds").alias("kinds"), F.sum("h.hot_gain").alias("gain"))
         rules.hot_states.append({r["hot"]: r["kinds"] for r in sums.where(F.col("gain") >= min_gain).collect()})  # at most N / hot rows
