@@ -4,8 +4,8 @@ A fingerprint has 64 bits; two are linked if at most `radius` (3) bits differ. E
 never meet. Of four 16-bit blocks at least one is equal in any linked pair, so an item goes to four bins (block number,
 block value). In a bin the items are sorted by population count and cut into tiles; a pair of tiles is skipped if their
 population counts differ by more than the radius, else all its pairs are compared by exclusive-or and bit counts in
-numpy. A bin of more than `bin_rows` items is dealt out as pairs of groups, each pair a task of its own, so no bin is capped
-and no link is lost. Of the links in a bin only a spanning tree of fan-out 64 leaves the task; components of those trees are
+numpy. A bin of more than `bin_rows` items is dealt out by bands of population counts, and large bands as groups; only groups of equal or successive
+bands meet, each pair in a task of its own, so no bin is capped and no link is lost. Of the links in a bin only a spanning tree of fan-out 64 leaves the task; components of those trees are
 the components of all links.
 
 Cases: null and empty texts have fingerprint zero, and are linked like any other; a text below three words is one shingle;
@@ -151,15 +151,26 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, ti
     return out
 
 
-def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes], list[bytes] | None, np.ndarray], list[tuple[int, int]]], weight: Column | None = None) -> DataFrame:
-    """binned: (bin, item, lanes). Items of one bin meet; bins of more than bin_rows items (or that sum of weights) are dealt out as pairs of groups."""
-    large = materialize(binned.groupBy("bin").agg(F.sum(F.lit(1) if weight is None else weight).alias("count")).where(F.col("count") > bin_rows).select("bin", F.ceil(F.col("count") / bin_rows).cast("int").alias("parts")), "bins")
-    dealt = binned.join(large, "bin", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("item", F.lit(7)), F.col("parts"))).cast("int"))
+#: Groups of one band of a bin are numbered below this.
+_GROUPS = 1 << 32
+
+
+def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes], list[bytes] | None, np.ndarray], list[tuple[int, int]]], weight: Column | None = None, band: Column | None = None) -> DataFrame:
+    """binned: (bin, item, lanes). Items of one bin meet. A bin of more than bin_rows items (or that sum of weights) is dealt out: by bands, of which only
+    equal and successive ones meet (those of population counts, a radius wide: others cannot be linked), and large bands as groups by
+    a hash. Each pair of groups that meet is a task."""
+    rows = binned.withColumn("band", (F.lit(0) if band is None else band).cast("long"))
+    counts = rows.groupBy("bin", "band").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    groups = counts.groupBy("bin").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / bin_rows).cast("long").alias("groups")))).alias("groups"))
+    large = materialize(groups.where(F.col("n") > bin_rows).select("bin", "groups"), "bins")
+    dealt = rows.join(large, "bin", "left")
+    size = lambda b: F.coalesce(F.get(F.map_values(F.map_filter("groups", lambda k, _: k == b)), F.lit(0)), F.lit(0))
+    dealt = dealt.withColumn("part", F.when(F.col("groups").isNotNull(), F.col("band") * _GROUPS + F.pmod(F.xxhash64("item", F.lit(7)), size(F.col("band")))).otherwise(0))
+    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+    others = F.flatten(F.transform(near, lambda b: F.when(size(b) > 0, F.transform(F.sequence(F.lit(0).cast("long"), size(b) - 1), lambda g: b * _GROUPS + g)).otherwise(F.array().cast("array<bigint>"))))
     # a group meets itself, and each other group once: (low, high) names the task
-    meets = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high")))
-    )
-    tasks = dealt.select("item", "lanes", "bin", "part", F.explode(meets).alias("m")).select("bin", F.coalesce("part", F.lit(0)).alias("part"), "m.low", "m.high", "item", "lanes")
+    meets = F.when(F.col("groups").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
+    tasks = dealt.select("item", "lanes", "bin", "part", F.explode(meets).alias("m")).select("bin", "part", F.least("m", "part").alias("low"), F.greatest("m", "part").alias("high"), "item", "lanes")
     spread = tasks.repartition("bin", "low", "high").sortWithinPartitions("bin", "low", "high", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +186,8 @@ def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes],
                     found, names = compare_rows(lanes, None, item), item
                 else:
                     first = part == low[0]
+                    if first.all() or not first.any():
+                        return  # the hash has put nothing into the other group
                     names = np.concatenate([item[first], item[~first]])
                     found = compare_rows([x for x, f in zip(lanes, first) if f], [x for x, f in zip(lanes, first) if not f], names)
                 out.extend((int(names[a]), int(names[b])) for a, b in found)
@@ -208,50 +221,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, bin_rows: int = BIN_ROWS) -
     if not 0 <= radius <= 3:
         raise ValueError("four blocks find pairs of at most 3 differing bits")
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("bits", 16 * k).bitwiseAND(F.lit(65535)).alias("value")) for k in range(4)])
-    binned = distinct.select("bits", F.explode(blocks).alias("bin")).select("bits", (F.col("bin.value") * 4 + F.col("bin.block")).alias("bin"))
-    large = materialize(binned.groupBy("bin").count().where(F.col("count") > bin_rows).select("bin", F.ceil(F.col("count") / bin_rows).cast("int").alias("parts")), "bins")
-    dealt = binned.join(large, "bin", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("bits", F.lit(7)), F.col("parts"))).cast("int"))
-    # a group meets itself, and each other group once: (low, high) names the task
-    meets = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("low"), F.greatest(k, F.col("part")).alias("high")))
-    )
-    tasks = dealt.select("bits", "bin", "part", F.explode(meets).alias("m")).select("bits", "bin", F.coalesce("part", F.lit(0)).alias("part"), "m.low", "m.high")
-    spread = tasks.repartition("bin", "low", "high").sortWithinPartitions("bin", "low", "high", "part")
+    lanes = F.unhex(F.lpad(F.hex("bits"), 16, "0"))
+    binned = distinct.select("bits", lanes.alias("lanes"), F.explode(blocks).alias("bin")).select(F.col("bits").alias("item"), "lanes", (F.col("bin.value") * 4 + F.col("bin.block")).alias("bin"))
+    ones = F.bit_count("item")
+    return _meet(binned, bin_rows, _within(radius, False), band=F.floor(ones / (radius + 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the columns of the task that the last batch broke off in
-        out: list[tuple[int, int]] = []
 
-        def close(rows: np.ndarray) -> None:
-            bits, part, low, high = rows[0].view(np.uint64), rows[2], rows[3][0], rows[4][0]
-            if len(bits) > 1:
-                if low != high:
-                    bits, cut = np.concatenate([bits[part == low], bits[part == high]]), int((part == low).sum())
-                found = compare(bits, None, radius) if low == high else compare(bits[:cut], bits[cut:], radius)
-                out.extend((int(bits[a]), int(bits[b])) for a, b in found)
+def _within(radius: int, name: bool) -> Callable[[list[bytes], list[bytes] | None, np.ndarray], list[tuple[int, int]]]:
+    """Comparison of two groups, or of one, of fingerprints as bytes; their order does not matter to the number of differing bits."""
 
-        def flush() -> pa.RecordBatch:
-            both = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
-            if held:
-                rows = np.concatenate([held.pop(), rows], axis=1)
-            change = np.nonzero((np.diff(rows[1]) != 0) | (np.diff(rows[3]) != 0) | (np.diff(rows[4]) != 0))[0] + 1
-            edges = [0, *change.tolist()]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if b - a > 1:
-                    close(rows[:, a:b])
-            held.append(rows[:, edges[-1] :])
-            if len(out) > 100_000:
-                yield flush()
-        if held:
-            close(held.pop())
-        yield flush()
+    def near(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:
+        rows = [x if x is None else np.frombuffer(b"".join(x), dtype="<u8").reshape(len(x), -1) for x in (left, right)]
+        return compare(rows[0], rows[1], radius, names=names if name else None)
 
-    return spread.mapInArrow(run, "a long, b long")
+    return near
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, radius: int = RADIUS) -> DataFrame:
@@ -387,11 +370,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
         return step
 
     binned = map_batches(items.select("item", "lanes"), bins, "item long, lanes binary, bin long")
-    def near(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:
-        rows = [x if x is None else np.frombuffer(b"".join(x), dtype="<u8").reshape(len(x), -1) for x in (left, right)]
-        return compare(rows[0], rows[1], radius, names=names)
-
-    found = materialize(_meet(binned, bin_rows, near), "found")
+    found = materialize(_meet(binned, bin_rows, _within(radius, True)), "found")
     clusters = materialize(contracted_components(found).select(F.col("node").alias("item"), F.col("root").alias("bin")), "clusters")
 
     def named():
