@@ -3,17 +3,20 @@
 Base kinds, each leftmost and non-overlapping by itself: `assign` (a key word, a separator, a value of 12 or more characters),
 `access` (AKIA...) and `hex` (16 or more digits). Spans are code points, end exclusive, and cover the whole match.
 
-The battery looks at every maximal run of 20 or more letters, digits and +/_- . Its alphabet is inferred (hexadecimal, base32,
-base64). The null hypothesis is ordinary writing; three statistics speak against it:
+The battery looks at every maximal run of 20 or more letters, digits and +/_- . Its alphabet is inferred (decimal, letters of one case, hexadecimal,
+base32, letters of one case and digits, base64). The null hypothesis is ordinary writing; three statistics speak against it:
 
 * chi-squared uniformity over the alphabet, as the number of coinciding pairs of symbols: writing has many, its letters
   being unevenly used;
-* runs of a character class (upper, digit, or lower and the signs that join words): writing changes class seldom;
-* serial correlation of the class at lag one: high in writing, near 0 in random strings.
-
-Their normal scores are combined (Stouffer), and the bound exp(-z*z/2)/2 is the p-value. Runs are grouped by length (powers of two), and
-within each group the Benjamini-Hochberg rule holds the share of false discoveries below `fdr`: p-values are rounded up
-to tenths of a decade, counted over all texts, and the counts alone (at most 256 a group) make the threshold. A run that overlaps
+* runs of a class of characters: upper (but for the capital of a word), digit, or lower and the signs that join words, which writing changes seldom; in letters of one case,
+  vowels and consonants, which writing changes often;
+* serial correlation of the class at lag one: high in writing, of vowels and consonants below 0, near 0 in random strings.
+
+The last two look at one sequence and depend on each other, so their mean counts as one normal score; it is combined with the first
+(Stouffer). Runs are grouped by length (powers of two). The scores of each group are counted over all texts, in tenths (at most 601 a
+group), and the counts give what is needed: the score's centre and spread, by which it is standardised where they are above those of the
+null hypothesis (the middle of the scores is taken for writing, so a corpus of other habits raises the bar), the p-value of the normal
+tail, and by the Benjamini-Hochberg rule the least score that holds the share of false discoveries below `fdr`. A run that overlaps
 a base span adds nothing; the others are spans of kind `random`.
 
 Cases: null text counts as empty; texts without a match have no spans; any length, ties and repeated rows are treated alike;
@@ -22,6 +25,7 @@ an empty table has no thresholds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -40,9 +44,11 @@ RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 12
 FDR = 1e-3
-#: Of writing: share of coinciding pairs, sum of cubed shares less its square, changes of class per place, serial correlation.
-WRITING = {"pairs": 0.065, "cubes": 0.0012, "changes": 0.2, "serial": 0.5}
-_B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+#: A capital that begins a word is of the class of the word.
+CAPITAL = "[A-Z](?=[a-z]{2})"
+#: Of writing: share of coinciding pairs, sum of cubed shares less its square; changes of class per place and serial correlation, of kinds of
+#: characters, and of vowels and consonants.
+WRITING = {"pairs": 0.065, "cubes": 0.0012, "changes": 0.2, "serial": 0.5, "vowel_changes": 0.62, "vowel_serial": -0.3}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,32 +94,40 @@ def base_spans(text: Column) -> Column:
 
 def evidence(run: Column) -> Column:
     """Combined normal score of one run against writing."""
+    words = run.rlike("^([a-z+/_-]+|[A-Z+/_-]+)$")  # letters of one case: their order is told by vowels
 
     def battery(c: Column) -> Column:
         n = F.size(c).cast("double")
         counts = F.transform(F.array_distinct(c), lambda s: F.size(F.filter(c, lambda y: y == s)).cast("double"))
         pairs = F.aggregate(counts, F.lit(0.0), lambda a, o: a + o * (o - 1) / 2)
-        alphabet = F.when(F.forall(c, lambda s: F.instr(F.lit("0123456789abcdefABCDEF"), s) > 0), 16.0).when(F.forall(c, lambda s: F.instr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), s) > 0), 32.0).otherwise(64.0)
+        alphabet = (
+            F.when(run.rlike("^[0-9]+$"), 10.0).when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0).when(run.rlike("^([a-z]+|[A-Z]+)$"), 26.0).when(run.rlike("^[A-Z2-7]+$"), 32.0)
+            .when(run.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36.0).otherwise(64.0)
+        )
         # in a small alphabet even random symbols coincide often: writing must coincide more often than that
         share = F.greatest(F.lit(WRITING["pairs"]), 1.5 / alphabet)
         expected = n * (n - 1) / 2 * share
         chi = (expected - pairs) / F.sqrt(expected + n * n * n * WRITING["cubes"])
-        kinds = F.transform(c, lambda s: F.when(s.between("A", "Z"), 1.0).when(s.between("0", "9"), 2.0).otherwise(0.0))
+        kinds = F.when(words, F.transform(F.filter(c, lambda s: s.rlike("[A-Za-z]")), lambda s: F.when(s.rlike("[aeiouyAEIOUY]"), 1.0).otherwise(0.0))).otherwise(F.transform(F.regexp_extract_all(F.regexp_replace(run, CAPITAL, "a"), F.lit("."), 0), lambda s: F.when(s.between("A", "Z"), 1.0).when(s.between("0", "9"), 2.0).otherwise(0.0)))
 
         def order(k: Column) -> Column:
-            later, earlier = F.slice(k, F.lit(2), F.size(k) - 1), F.slice(k, F.lit(1), F.size(k) - 1)
+            m = F.size(k).cast("double")
+            rest = F.greatest(F.lit(0), F.size(k) - 1)  # a run may hold no letter
+            later, earlier = F.slice(k, F.lit(2), rest), F.slice(k, F.lit(1), rest)
             changes = F.aggregate(F.zip_with(earlier, later, lambda a, b: F.when(a == b, 0.0).otherwise(1.0)), F.lit(0.0), lambda a, b: a + b)
-            rate = WRITING["changes"]
-            runs = (changes - (n - 1) * rate) / F.sqrt((n - 1) * rate * (1 - rate))
-            mean = F.aggregate(k, F.lit(0.0), lambda a, b: a + b) / n
+            spread = lambda rate: F.sqrt((m - 1) * rate * (1 - rate))
+            rate, vowel_rate = WRITING["changes"], WRITING["vowel_changes"]
+            runs = F.when(words, ((m - 1) * vowel_rate - changes) / spread(vowel_rate)).otherwise((changes - (m - 1) * rate) / spread(rate))
+            mean = F.aggregate(k, F.lit(0.0), lambda a, b: a + b) / m
 
-            def correlation(m: Column) -> Column:  # with the mean at hand; it would else be summed anew for each symbol
-                spread = F.aggregate(k, F.lit(0.0), lambda a, b: a + (b - m) * (b - m))
-                lag = F.aggregate(F.zip_with(earlier, later, lambda a, b: (a - m) * (b - m)), F.lit(0.0), lambda a, b: a + b)
-                return _let(spread, lambda v: F.when(v > 0, lag / v).otherwise(1.0))
+            def correlation(u: Column) -> Column:  # with the mean at hand; it would else be summed anew for each symbol
+                square = F.aggregate(k, F.lit(0.0), lambda a, b: a + (b - u) * (b - u))
+                lag = F.aggregate(F.zip_with(earlier, later, lambda a, b: (a - u) * (b - u)), F.lit(0.0), lambda a, b: a + b)
+                return _let(square, lambda v: F.when(v > 0, lag / v).otherwise(F.when(words, -1.0).otherwise(1.0)))
 
-            serial = (WRITING["serial"] - _let(mean, correlation)) * F.sqrt(n)
-            return (chi + runs + serial) / F.sqrt(F.lit(3.0))
+            r = _let(mean, correlation)
+            serial = F.when(words, r - WRITING["vowel_serial"]).otherwise(WRITING["serial"] - r) * F.sqrt(m)
+            return F.when(m >= 8, (chi + (runs + serial) / 2) / F.sqrt(F.lit(2.0))).otherwise(F.lit(0.0))
 
         return _let(kinds, order)
 
@@ -121,30 +135,41 @@ def evidence(run: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, stratum, tenths of decades of the p-value) of all runs."""
+    """Array of (start, end, stratum, tenths of the score) of all runs."""
 
     def grade(s: Column) -> Column:
-        z = F.greatest(F.lit(0.0), evidence(s["match"]))
-        decades = (z * z / 2 + 0.6931471805599453) / 2.302585092994046
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(F.length(s["match"]).cast("double"))).cast("int").alias("stratum"), F.least(F.lit(255), F.floor(decades * 10)).cast("int").alias("tenths"))
+        tenths = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(40.0), evidence(s["match"]))) * 10).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(F.length(s["match"]).cast("double"))).cast("int").alias("stratum"), tenths.alias("tenths"))
 
     return F.transform(located(text, RUN), grade)
 
 
+def least_score(counts: dict[int, int], fdr: float = FDR) -> int | None:
+    """counts: of runs of one stratum, by tenths of their score. The least number of tenths that is a discovery, or None."""
+    total, seen, middle = sum(counts.values()), 0, {}
+    for tenths in sorted(counts):
+        for share in (0.5, 0.84):
+            if seen < share * total <= seen + counts[tenths]:
+                middle[share] = tenths / 10
+        seen += counts[tenths]
+    centre, spread = max(0.0, middle[0.5]), max(1.0, middle[0.84] - middle[0.5])
+    above, least = 0, None
+    for tenths in sorted(counts, reverse=True):
+        above += counts[tenths]
+        z = max(0.0, (tenths / 10 - centre) / spread)
+        if math.erfc(z / math.sqrt(2)) / 2 <= fdr * above / total:
+            least = tenths
+    return least
+
+
 def thresholds(df: DataFrame, text_col: str, fdr: float = FDR) -> dict[int, int]:
     """For each stratum of length the least number of tenths that is a discovery; strata without one are left out."""
     runs = df.select(F.explode(candidates(F.coalesce(F.col(text_col), F.lit("")))).alias("c")).groupBy("c.stratum", "c.tenths").count()
     seen: dict[int, dict[int, int]] = {}
-    for r in runs.collect():  # at most 256 rows a stratum, and a stratum for each power of two
+    for r in runs.collect():  # at most 601 rows a stratum, and a stratum for each power of two
         seen.setdefault(r["stratum"], {})[r["tenths"]] = r["count"]
-    out = {}
-    for stratum, counts in seen.items():
-        total, above = sum(counts.values()), 0
-        for tenths in sorted(counts, reverse=True):
-            above += counts[tenths]
-            if 10 ** (-tenths / 10) <= fdr * above / total:
-                out[stratum] = tenths
-    return out
+    found = {stratum: least_score(counts, fdr) for stratum, counts in seen.items()}
+    return {stratum: tenths for stratum, tenths in found.items() if tenths is not None}
 
 
 def with_spans(df: DataFrame, text_col: str, least: dict[int, int]) -> DataFrame:
