@@ -100,6 +100,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
             for at in range(0, whole.num_rows, rows):
                 out = step(whole.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
+            del whole
+            pa.default_memory_pool().release_unused()  # workers are kept, also while later stages run in the JVM
 
     return df.mapInArrow(run, schema)
 

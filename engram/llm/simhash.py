@@ -386,7 +386,8 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
 
         return step
 
-    once = map_batches(df.select(valid(F.col(text_col)).alias("text")), named, "item long, text string").join(clusters, "item").groupBy("item").agg(F.first("bin").alias("bin"), F.first("text").alias("text"))
+    # the texts of equal sets meet within tasks and then once more, whatever the number of clusters; so copies are no hot keys
+    once = map_batches(df.select(valid(F.col(text_col)).alias("text")), named, "item long, text string").groupBy("item").agg(F.first("text").alias("text")).join(clusters, "item")
     members = materialize(map_batches(once.select("bin", "item", "text"), sets, "bin long, item long, n long, lanes binary"), "members")
 
     def same(left: list[bytes], right: list[bytes] | None, names: np.ndarray) -> list[tuple[int, int]]:
