@@ -37,8 +37,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _keys(found: DataFrame, tag: str) -> DataFrame:
-    """The distinct keys, as a written table, so that Spark sees its size before it picks a join."""
-    return materialize(found.select("key.doc_id", "key.text_hash").distinct(), tag)
+    """The distinct keys, as a written table. It is joined by merging: it grows with the documents, so no size check would let it be broadcast
+    on a large corpus, and small ones are planned alike."""
+    return materialize(found.select("key.doc_id", "key.text_hash").distinct(), tag).hint("merge")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
