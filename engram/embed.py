@@ -1,8 +1,9 @@
-"""Embedders: the protocol, a deterministic one in Spark expressions, and pooling for models that give token vectors."""
+"""Embedders: the protocol, a deterministic one in Spark expressions, one that asks a service over HTTP, and pooling for models that give token vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import vec
+from engram.llm_api import post_json, with_retries
 
 CHUNK = 256
 
@@ -42,6 +44,24 @@ def with_embeddings(df: DataFrame, text_col: str, embedder: Embedder, out: str =
     return df.mapInPandas(run, schema)
 
 
+@dataclass
+class HttpEmbedder:
+    """A service that embeds texts over HTTP. `post` sends a body and returns the parsed answer."""
+
+    url: str
+    model: str
+    dimensions: int
+    headers: dict[str, str] = field(default_factory=dict)
+    post: Callable[[str, dict[str, str], dict], dict] = post_json
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        answer = with_retries(lambda: self.post(self.url, self.headers, {"model": self.model, "input": list(texts)}))
+        found = [r["embedding"] for r in sorted(answer["data"], key=lambda r: r.get("index", 0))]
+        if len(found) != len(texts) or any(len(v) != self.dimensions for v in found):
+            raise ValueError(f"the service gave {len(found)} vectors for {len(texts)} texts, or of another length than {self.dimensions}")
+        return found
+
+
 def normalize_np(v: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(v)
     return v / n if n > 0 else v

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram import llm_api
 from engram.functions import text
 from engram.operators.graph import knn
 from engram.schema import require
@@ -17,6 +18,14 @@ def classify_pairs(pairs: DataFrame, a: str = "content_a", b: str = "content_b")
     return c.withColumn("verdict", F.col("_c.verdict")).withColumn("confidence", F.col("_c.confidence")).drop("_c")
 
 
+def classify_by(pairs: DataFrame, provider: llm_api.LlmProvider, a: str = "content_a", b: str = "content_b") -> DataFrame:
+    """As classify_pairs(), by a provider; where its answer is no verdict, the heuristic's stands."""
+    prompt = F.concat(F.lit(llm_api.contradiction_prompt("", "").split("\nA:")[0] + "\nA: "), F.col(a), F.lit("\nB: "), F.col(b))
+    said = llm_api.parse(llm_api.map_prompts(classify_pairs(pairs, a, b).withColumn("prompt", prompt), "prompt", provider), "answer", llm_api.VERDICT)
+    ok = F.coalesce(F.lower("parsed.verdict").isin("contradiction", "revision", "neutral"), F.lit(False))
+    return said.withColumn("verdict", F.when(ok, F.lower("parsed.verdict")).otherwise(F.col("verdict"))).withColumn("confidence", F.when(ok, F.coalesce("parsed.confidence", F.lit(0.5))).otherwise(F.col("confidence"))).drop("prompt", "answer", "parsed")
+
+
 def candidates(mem: DataFrame, edges: DataFrame, k: int = NEIGHBOURS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """Near pairs of mem (one scope) that no `contradicts` or `revised_from` edge settles yet: id_a, id_b, similarity, contents."""
     near = knn(mem, "memory_id", "embedding", k - 1).withColumn("similarity", 1 - F.least(F.col("distance"), F.lit(2.0)) / 2).where(F.round("similarity", 9) >= least)

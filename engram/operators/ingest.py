@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,6 +87,42 @@ def mention_edges(rows: DataFrame, relations: DataFrame) -> DataFrame:
     return relations.join(a, ["file_path", "source"]).join(b, ["file_path", "target"]).where("src <> dst").select("src", "dst", F.lit("entity_relation").alias("edge_type"), F.lit(1.0).alias("confidence")).distinct()
 
 
+@dataclass
+class Ingested:
+    """What phase two makes of the notes of stale files: rows for remember(), ids that go, edges, and the sections as they are then."""
+
+    rows: DataFrame
+    dropped: DataFrame
+    edges: DataFrame
+    sections: DataFrame
+
+
+def phase2(notes: DataFrame, sections: DataFrame, stored: DataFrame, provider: llm_api.LlmProvider) -> Ingested:
+    """notes: (file_path, content); sections: those of section_diff(); stored: (file_path, hash, memory_id) of propositions. Files with a stale section
+    are extracted anew: their document, the propositions that are new, edges from propositions to their document and between the first mentions of
+    related names; propositions that no longer stand in the file go."""
+    todo = sections.where(F.col("state") != "synced").select("file_path").distinct()
+    own = notes.join(todo, "file_path", "left_semi")
+    extracted = extract(requests(own), provider)
+    doc = documents(own)
+    found = propositions(extracted)
+    actions = merge_propositions(stored.join(todo, "file_path", "left_semi"), found.select("file_path", "hash"))
+    new = found.join(actions.where("action = 'add'").select("file_path", "hash", "memory_id"), ["file_path", "hash"])
+    kept = found.join(actions.where("action <> 'drop'").select("file_path", "hash", "memory_id"), ["file_path", "hash"])
+    rows = doc.select("memory_id", "content", "kind", "importance", F.col("file_path").alias("entity_id")).unionByName(new.select("memory_id", "content", F.lit("proposition").alias("kind"), F.lit(PROPOSITION_IMPORTANCE).alias("importance"), F.col("file_path").alias("entity_id")))
+    of_document = kept.join(doc.select("file_path", F.col("memory_id").alias("dst")), "file_path").select(F.col("memory_id").alias("src"), "dst", F.lit("proposition_of").alias("edge_type"), F.col("confidence").cast("double").alias("confidence"))
+    relations = extracted.select("file_path", F.explode("parsed.relations").alias("r")).select("file_path", "r.source", "r.target", "r.type")
+    edges = of_document.unionByName(mention_edges(kept.select("file_path", "pos", "memory_id", "content"), relations))
+    return Ingested(rows, actions.where("action = 'drop'").select("memory_id"), edges, mark_synced(sections, todo))
+
+
+def rebuild(notes: DataFrame, parsed: DataFrame, provider: llm_api.LlmProvider) -> Ingested:
+    """Everything anew, as if nothing had been stored: parsed has the sections of the notes (sources.markdown.parsed)."""
+    none = notes.sparkSession.createDataFrame([], "file_path string, heading_path array<string>, section_id string, section_hash string")
+    stored = notes.sparkSession.createDataFrame([], "file_path string, hash string, memory_id string")
+    return phase2(notes, section_diff(none, parsed), stored, provider)
+
+
 def coalesce_events(events: DataFrame, quiet_us: int = 500_000) -> DataFrame:
     """events: (file_path, kind, ts_us) of a watcher. One row for each quiet spell of a file: created and deleted within it is nothing, a
     deletion followed by a creation is a change, else the last kind counts."""

@@ -162,6 +162,29 @@ def status(sections: DataFrame) -> DataFrame:
     return c.withColumn("indexing_pct", pct).withColumn("code", F.when(F.col("total") == 0, "empty").when(F.col("stale") > 0, "indexing").otherwise("ready"))
 
 
+#: Upper bounds of the latency histogram, in seconds.
+BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0, 10.0)
+
+
+def metrics(log: DataFrame, mem: DataFrame) -> DataFrame:
+    """(name, labels, value): the latency histogram of each operation, cumulative as scrapers want it, its count and sum in seconds, and the number
+    of memories of each kind. One pass over each table."""
+    sec = F.col("latency_us") / 1e6
+    bounds = F.array(*(F.struct(F.lit(f"{b:g}").alias("le"), F.when(sec <= b, 1).otherwise(0).alias("n")) for b in BUCKETS), F.struct(F.lit("+Inf").alias("le"), F.lit(1).alias("n")))
+    flat = log.select("operation", F.explode(bounds).alias("b")).groupBy("operation", "b.le").agg(F.sum("b.n").cast("double").alias("value"))
+    label = lambda key, c: F.concat(F.lit(f'{key}="'), c, F.lit('"'))
+    hist = flat.select(F.lit("operation_duration_seconds_bucket").alias("name"), F.concat(label("operation", F.col("operation")), F.lit(","), label("le", F.col("le"))).alias("labels"), "value")
+    sums = log.groupBy("operation").agg(F.count("*").cast("double").alias("count"), F.sum(sec).alias("sum"))
+    rest = sums.select(label("operation", F.col("operation")).alias("labels"), F.explode(F.array(F.struct(F.lit("operation_duration_seconds_count").alias("name"), F.col("count").alias("value")), F.struct(F.lit("operation_duration_seconds_sum").alias("name"), F.col("sum").alias("value")))).alias("m")).select("m.name", "labels", "m.value")
+    held = mem.groupBy("kind").agg(F.count("*").cast("double").alias("value")).select(F.lit("memories").alias("name"), label("kind", F.col("kind")).alias("labels"), "value")
+    return hist.unionByName(rest).unionByName(held)
+
+
+def exposition(rows: DataFrame) -> str:
+    """The rows of metrics() as text, a line each, sorted: a few for each operation and kind."""
+    return "".join(f"engram_{r['name']}{{{r['labels']}}} {r['value']:g}\n" for r in rows.orderBy("name", "labels").collect())
+
+
 def latency_percentiles(df: DataFrame, column: str) -> DataFrame:
     """One row: p50, p95, p99 and p999 of a column of whole numbers, exactly, by histograms in passes (querylog.percentile)."""
     found = {n: querylog.percentile(df, column, p, first=1) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))}

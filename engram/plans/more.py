@@ -185,3 +185,22 @@ def query_log_get(spark, d):
 def infer_entity(spark, d):
     sources = fixtures.edges(spark, d).where("edge_type = 'related_to'").select(F.col("src").alias("insight"), F.col("dst").alias("memory_id"))
     return reflect.infer_entities(mem(spark, d), sources).withColumnRenamed("entity_id", "entity")
+
+
+_LE = "(values " + ", ".join(f"('{b:g}', {b}::double)" for b in reports.BUCKETS) + ", ('+Inf', 1e300::double)) z(le, b)"
+
+
+@query(
+    f"with {SQL_Q} select 'operation_duration_seconds_bucket' as name, 'operation=\"' || operation || '\",le=\"' || le || '\"' as labels, count(*) filter (latency_us / 1e6 <= b)::double as value from q, {_LE} group by operation, le "
+    "union all select 'operation_duration_seconds_count', 'operation=\"' || operation || '\"', count(*)::double from q group by operation union all select 'memories', 'kind=\"' || kind || '\"', count(*)::double from (select case event_type when 'click' then 'episode' when 'view' then 'document' when 'purchase' then 'insight' when 'error' then 'proposition' else 'revision' end as kind from events) y group by kind"
+)
+def metrics_counts(spark, d):
+    return reports.metrics(fixtures.query_log(spark, d), mem(spark, d)).where("name <> 'operation_duration_seconds_sum'")
+
+
+@query("select source as file_path, count(distinct sha256(trim(text))) as propositions from documents group by source")
+def ingest_propositions(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    parsed = F.struct(F.array(F.struct(F.col("text"), F.lit(0.9).alias("confidence"))).alias("propositions")).alias("parsed")
+    found = ingest.propositions(docs.select(F.col("source").alias("file_path"), parsed), per_file=1_000_000)
+    return found.groupBy("file_path").agg(F.count("*").alias("propositions"))

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -5,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram import embed, llm_api, schema
-from engram.functions import scoring, text, vec
+from engram.functions import framing, scoring, text, vec
 from engram.operators import graph, ingest, lifecycle, reflect, reports, retrieve, service
 from engram.operators import contradict, querylog
 from engram.sources import markdown
 from engram.sources.store import Conflict, MemoryStore, TableStore
+from engram.streaming import subscribe
 
 NOW = 1_700_000_000_000_000
 
@@ -349,6 +351,92 @@ def test_embedders(spark):
     assert np.allclose(embed.pool(np.ones((1, 3, 2)), np.array([[1, 1, 0]])), [[0.5**0.5, 0.5**0.5]])
 
 
+def test_frames(spark):
+    rows = [b"", b"123456789", b"x" * 1000, bytes(range(256)), None]
+    df = spark.createDataFrame([(r,) for r in rows], "b binary")
+    got = df.select(framing.crc32c(F.col("b")).alias("c"), framing.frame(F.col("b")).alias("f")).collect()
+    assert [r.c for r in got][:2] == [0, 0xE3069283] and got[4].c is None
+    assert bytes(got[1].f) == b"\x01123456789" + (0xE3069283).to_bytes(4, "little")
+    broken = [bytes(r.f[:-1]) + b"\x00" for r in got[1:4]]
+    back = spark.createDataFrame([(bytes(r.f),) for r in got[1:4]] + [(x,) for x in broken] + [(b"\x00plain",), (b"old",), (b"",)], "f binary").select(framing.unframe(F.col("f")).alias("u")).collect()
+    assert [bytes(r.u.payload) for r in back[:3]] == rows[1:4] and [r.u.ok for r in back] == [True] * 3 + [False] * 3 + [True, True, False]
+    assert bytes(back[6].u.payload) == b"plain" and bytes(back[7].u.payload) == b"old"
+
+
+def test_services_over_http():
+    import urllib.error
+
+    asked, fails = [], [2]
+
+    def post(url, headers, body):
+        asked.append(body)
+        if fails[0]:
+            fails[0] -= 1
+            raise urllib.error.URLError("down")
+        if "input" in body:
+            return {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]}
+        text = json.dumps({"insights": [{"content": "c", "sources": ["a"]}], "verdict": "accepted", "confidence": 0.7})
+        return {"content": [{"text": text}], "choices": [{"message": {"content": "``` " + text + " ```"}}], "candidates": [{"content": {"parts": [{"text": text}]}}], "response": text}
+
+    for style in llm_api.STYLES:
+        p = llm_api.HttpProvider("http://here", "m", style, post=post)
+        assert p.propose([("a", "one")]) == [{"content": "c", "confidence": 0.5, "sources": ["a"], "tags": []}]
+        assert p.validate("c", [])["verdict"] == "accepted"
+    assert embed.HttpEmbedder("http://here", "m", 2, post=post).embed_batch(["a", "bcd"]) == [[1.0, 1.0], [3.0, 1.0]]
+    with pytest.raises(ValueError):
+        embed.HttpEmbedder("http://here", "m", 3, post=post).embed_batch(["a"])
+    assert llm_api.complete_parallel(llm_api.MockProvider(), [str(i) for i in range(20)], 3) == llm_api.complete_batch(llm_api.MockProvider(), [str(i) for i in range(20)])
+    assert len(llm_api.within_budget([("a" * 32, "x" * 100)] * 50, 100)) == 2
+
+
+def test_classification_by_a_provider_falls_back(spark):
+    class Half:
+        def complete(self, prompt):
+            return '{"verdict": "Contradiction", "confidence": 0.9}' if "first" in prompt else "I can not tell"
+
+    pairs = spark.createDataFrame([("first", "other"), ("it is reliable", "it is unreliable")], "content_a string, content_b string")
+    got = {r.content_a: r for r in contradict.classify_by(pairs, Half()).collect()}
+    want = {r.content_a: r for r in contradict.classify_pairs(pairs).collect()}
+    assert (got["first"].verdict, got["first"].confidence) == ("contradiction", 0.9)
+    assert (got["it is reliable"].verdict, got["it is reliable"].confidence) == (want["it is reliable"].verdict, want["it is reliable"].confidence)
+
+
+def test_phase_two_and_rebuild(spark):
+    notes = spark.createDataFrame([("a.md", "# A\n" + "ann met bob. " * 10), ("b.md", "# B\n" + "nothing else " * 10)], "file_path string, content string")
+    sections = markdown.parsed(notes)
+    first = ingest.rebuild(notes, sections, llm_api.MockProvider())
+    rows = first.rows.collect()
+    assert sorted(r.kind for r in rows) == ["document", "document", "proposition", "proposition"]
+    assert {r.state for r in first.sections.collect()} == {"synced"} and first.dropped.count() == 0
+    assert {r.edge_type for r in first.edges.collect()} == {"proposition_of"} and first.edges.count() == 2
+    stored = spark.createDataFrame([(r.entity_id, spark.createDataFrame([(r.content,)], "c string").select(text.proposition_hash(F.col("c"))).first()[0], r.memory_id) for r in rows if r.kind == "proposition"], "file_path string, hash string, memory_id string")
+    changed = spark.createDataFrame([("a.md", "# A\n" + "carl left. " * 10), ("b.md", "# B\n" + "nothing else " * 10)], "file_path string, content string")
+    second = ingest.phase2(changed, ingest.section_diff(first.sections, markdown.parsed(changed)), stored, llm_api.MockProvider())
+    assert {r.entity_id for r in second.rows.collect()} == {"a.md"} and second.dropped.count() == 1
+
+
+def test_metrics_text(spark):
+    log = spark.createDataFrame([("recall", 500), ("recall", 20_000)], "operation string, latency_us long")
+    lines = reports.exposition(reports.metrics(log, spark.createDataFrame([("episode",)], "kind string"))).splitlines()
+    assert 'engram_memories{kind="episode"} 1' in lines and 'engram_operation_duration_seconds_bucket{operation="recall",le="0.001"} 1' in lines
+    assert 'engram_operation_duration_seconds_bucket{operation="recall",le="+Inf"} 2' in lines and 'engram_operation_duration_seconds_sum{operation="recall"} 0.0205' in lines
+
+
+def test_subscription_registry(spark):
+    held = spark.createDataFrame([("a",)], "subscription string")
+    assert subscribe.open_subscription(held, spark.createDataFrame([("b",)], "subscription string"), 2).count() == 2
+    for new, most in (("a", 5), ("b", 1)):
+        with pytest.raises(schema.InvalidInput):
+            subscribe.open_subscription(held, spark.createDataFrame([(new,)], "subscription string"), most)
+    assert subscribe.refresh_due(0, 0, 60_000_000) and subscribe.refresh_due(0, 100, 1) and not subscribe.refresh_due(0, 99, 1)
+    pushed = spark.createDataFrame([("a", "m"), ("b", "m")], "subscription string, memory_id string")
+    assert [r.subscription for r in subscribe.reset_dedup(pushed, "a").collect()] == ["b"]
+    chunks = spark.createDataFrame([("a", 1, "budget plan", [1.0, 0.0]), ("a", 2, "zzz", [1.0, 0.0]), ("b", 3, "the budget", [0.0, 1.0])], "subscription string, chunk_id int, chunk string, embedding array<double>")
+    staged = subscribe.stages(chunks, spark.createDataFrame([("budget",)], "word string"), [1.0, 0.0])
+    got = {r.subscription: r for r in subscribe.stats(staged, spark.createDataFrame([("a", "m", 1), ("c", "m", 1)], "subscription string, memory_id string, ts_us long")).collect()}
+    assert tuple(got["a"])[1:] == (2, 1, 0, 1, 0) and tuple(got["b"])[1:] == (1, 0, 1, 0, 0) and tuple(got["c"])[1:] == (0, 0, 0, 1, 0)
+
+
 def test_service():
     limit = service.RateLimiter({"read": (1, 2)})
     assert [limit.allow("t", "read", NOW) for _ in range(3)] == [True, True, False] and limit.allow("t", "read", NOW + 1_000_000)
