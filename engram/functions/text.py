@@ -71,12 +71,17 @@ def strip_boilerplate(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), keep), "\n")
 
 
+def without_code(text: Column) -> Column:
+    """The text without fenced blocks and code spans."""
+    return F.regexp_replace(text, r"(?s)```.*?(```|$)|`[^`\n]*`", "")
+
+
 def wiki_links(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(without_code(text), F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.trim(x))
 
 
 def hashtags(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|\s)#([A-Za-z][A-Za-z0-9_/-]*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(without_code(text), F.lit(r"(?:^|\s)#([A-Za-z][A-Za-z0-9_/-]*)"), 1))
 
 
 def content_hash(text: Column) -> Column:

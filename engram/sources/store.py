@@ -109,6 +109,50 @@ class TableStore:
         return sorted(gone)
 
 
+class MemoryTables:
+    """A TableStore's interface over rows held by the driver: for tests and small stores that need no files."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._parts = spark, {}
+        self._versions: list[dict[str, list[str]]] = [{}]
+
+    def version(self) -> int:
+        return len(self._versions) - 1
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        return self._versions[self.version() if version is None else version]
+
+    def parts(self, name: str, version: int | None = None) -> list[DataFrame]:
+        return [self.spark.createDataFrame(*self._parts[p]) for p in self.manifest(version).get(name, [])]
+
+    def read(self, name: str, version: int | None = None) -> DataFrame | None:
+        found = self.parts(name, version)
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def _hold(self, df: DataFrame) -> str:
+        part = uuid.uuid4().hex
+        self._parts[part] = (df.collect(), df.schema)
+        return part
+
+    def commit(self, tables: dict[str, DataFrame | None], base: int, append: dict[str, DataFrame] | None = None) -> int:
+        new = {name: [] if df is None else [self._hold(df)] for name, df in tables.items()}
+        more = {name: self._hold(df) for name, df in (append or {}).items()}
+        if tables and base != self.version():
+            raise Conflict(f"version {base + 1} exists")
+        held = self.manifest() | new
+        for name, part in more.items():
+            held[name] = [*held.get(name, []), part]
+        self._versions.append(held)
+        return self.version()
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        used = {p for held in self._versions[-max(1, keep) :] for found in held.values() for p in found}
+        gone = sorted(set(self._parts) - used)
+        for p in gone:
+            del self._parts[p]
+        return gone
+
+
 class HashEmbedder:
     """The default of a store without a model: hashes, in Spark."""
 
@@ -122,12 +166,13 @@ class HashEmbedder:
 class MemoryStore:
     """remember, get, recall, prime, revise, forget, sweep, reflect, subscribe, insights and count over a TableStore, for one tenant."""
 
-    def __init__(self, spark: SparkSession, root: str, tenant: str = "default", embedder: HashEmbedder | None = None):
-        self.spark, self.tables, self.tenant = spark, TableStore(spark, root), schema.check_tenant(tenant)
+    def __init__(self, spark: SparkSession, root: str | MemoryTables, tenant: str = "default", embedder: HashEmbedder | None = None):
+        self.spark, self.tenant = spark, schema.check_tenant(tenant)
+        self.tables = TableStore(spark, root) if isinstance(root, str) else root
         self.embedder = embedder or HashEmbedder(64)
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, tenant: str = "default") -> MemoryStore:
+    def open(cls, spark: SparkSession, root: str | MemoryTables, tenant: str = "default") -> MemoryStore:
         return cls(spark, root, tenant)
 
     def _name(self, table: str) -> str:

@@ -10,7 +10,7 @@ from engram.functions import framing, scoring, text, vec
 from engram.operators import graph, ingest, lifecycle, reflect, reports, retrieve, service
 from engram.operators import contradict, querylog
 from engram.sources import markdown
-from engram.sources.store import Conflict, MemoryStore, TableStore
+from engram.sources.store import Conflict, MemoryStore, MemoryTables, TableStore
 from engram.streaming import subscribe
 
 NOW = 1_700_000_000_000_000
@@ -98,8 +98,10 @@ def test_partial_failure(spark):
         retrieve.recall(m, ["similarity"], NOW, broken, 5)
 
 
-def test_store_round_trip(spark, tmp_path):
-    s = MemoryStore.open(spark, str(tmp_path / "s"))
+@pytest.mark.parametrize("kind", ["files", "memory"])
+def test_store_round_trip(spark, tmp_path, kind):
+    root = str(tmp_path / "s") if kind == "files" else MemoryTables(spark)
+    s = MemoryStore.open(spark, root)
     s.remember([{"content": "cats purr", "entity_id": "pets", "importance": 0.9}, {"content": "dogs bark", "entity_id": "pets", "importance": 0.4}], NOW)
     assert s.count() == 2
     top = s.recall("cats purr", NOW + 1)[0]
@@ -109,7 +111,7 @@ def test_store_round_trip(spark, tmp_path):
     s.revise(top["memory_id"], NOW + 2, content="cats meow", context='{"a": 1}')
     now = s.get(top["memory_id"]).first()
     assert (now.content, now.kind, now.logical_clock, now.created_at) == ("cats meow", "revision", 1, NOW) and s.count() == 3
-    other = MemoryStore.open(spark, str(tmp_path / "s"), "b")
+    other = MemoryStore.open(spark, root, "b")
     other.remember([{"content": "hidden"}], NOW + 3)
     assert (s.count(), other.count()) == (3, 1)
     assert s.forget(NOW + 4, entity="pets", kind="revision") == 1
@@ -214,6 +216,12 @@ def test_facade_subscribes_and_reflects(spark, tmp_path):
     assert s.subscribe(chunks, least=0.5).count() >= 1
 
 
+def test_links_in_code_do_not_count(spark):
+    df = spark.createDataFrame([("[[A|x]] `[[no]]` #tag\n```\n[[no]] #no\n```\n[[ B#p]]",), ("```\n[[open]]",), (None,)], "t string")
+    got = df.select(text.wiki_links(F.col("t")).alias("l"), text.hashtags(F.col("t")).alias("h")).collect()
+    assert [tuple(r) for r in got] == [(["A", "B"], ["tag"]), ([], []), (None, None)]
+
+
 def test_snippets_are_cut_by_bytes(spark):
     df = spark.createDataFrame([("abc",), ("aéé",), ("é" * 5,), (None,)], "t string")
     assert [r[0] for r in df.select(text.snippet(F.col("t"), 3)).collect()] == ["abc", "aé", "éé", None]
