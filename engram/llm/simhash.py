@@ -253,6 +253,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, radius: int = RAD
 # ---- similarity of word shingles, by wide fingerprints
 
 WIDE_WORDS, WIDE_LANES, BLOCK_BITS, SIMILARITY = 5, 7, 11, 0.8
+#: Items of an average bin beyond which keys are made wider, and the share of similar pairs that may share no key.
+MEAN_BIN, LOST = 2_048, 2.5e-3
 #: Shingles of a cluster of candidates that one group compares at most; larger clusters are dealt out as pairs of groups.
 CLUSTER_SHINGLES = 250_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -294,10 +296,40 @@ def wide_radius(similarity: float = SIMILARITY, lanes: int = WIDE_LANES) -> int:
     """Differing bits up to which two fingerprints are candidates: what sets of that Jaccard similarity are expected to differ by,
     and six standard deviations more, as small sets differ by more than expected; candidates are verified."""
     bits = 64 * lanes
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    p = differing_share(similarity)
     return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
 
 
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two fingerprints, of sets of that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def key_bits(items: int, similarity: float = SIMILARITY, lanes: int = WIDE_LANES, block_bits: int | None = None) -> np.ndarray:
+    """The bits that make up each key (keys x bits). Keys have 11 bits, in successive blocks of the fingerprint, and one bit more for each doubling of the items
+    beyond 4 million, so that bins stay as large as they are; of wider keys there are as many, at fixed random bits, as let a similar pair
+    share one but for LOST of all pairs. Their number grows as the items to the power 0.24."""
+    bits = 64 * lanes
+    width = block_bits or max(BLOCK_BITS, int(np.ceil(np.log2(max(1, items) / MEAN_BIN))))
+    if width <= BLOCK_BITS:
+        return np.arange(bits // width * width).reshape(-1, width)
+    keys = 1
+    while lost_pairs(keys, width, similarity, lanes) > LOST:
+        keys += 1 + keys // 50
+    rng = np.random.default_rng(13)
+    return np.stack([rng.choice(bits, width, replace=False) for _ in range(keys)])
+
+
+def lost_pairs(keys: int, width: int, similarity: float = SIMILARITY, lanes: int = WIDE_LANES) -> float:
+    """The share of pairs of that similarity that share none of so many keys of random bits, over all numbers of differing bits."""
+    bits, p = 64 * lanes, differing_share(similarity)
+    differ = np.arange(bits - width + 1)  # with more, no key can be equal
+    log = np.cumsum(np.log(np.maximum(1, np.arange(bits + 1))))  # of factorials
+    weight = np.exp(log[bits] - log[differ] - log[bits - differ] + differ * np.log(p) + (bits - differ) * np.log(1 - p))
+    equal = np.exp(log[bits - differ] - log[bits - differ - width] - log[bits] + log[bits - width])
+    return float((weight * (1 - equal) ** keys).sum() + 1 - weight.sum())
+
+
 def jaccard_links(sets: list[np.ndarray], names: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links of each row to that of the least name of its component, for the components of all pairs of sets whose Jaccard similarity is
     at least `similarity`. A set is compared with those of fitting size that its component has not reached yet."""
@@ -338,14 +370,14 @@ def jaccard_links(sets: list[np.ndarray], names: np.ndarray, similarity: float =
     return out
 
 
-def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = WIDE_WORDS, lanes: int = WIDE_LANES, block_bits: int = BLOCK_BITS, bin_rows: int = BIN_ROWS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, words: int = WIDE_WORDS, lanes: int = WIDE_LANES, block_bits: int | None = None, bin_rows: int = BIN_ROWS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
     """One row for each row of df: id, component_id, for texts whose sets of word shingles have a Jaccard similarity of `similarity` or more.
 
-    Texts of equal sets are one item. A pair meets if one of the fingerprints' blocks of block_bits is equal: with 40 blocks of 11 bits that holds for 999 of
+    Texts of equal sets are one item. A pair meets if one of the fingerprints' keys is equal (see key_bits): with 40 keys of 11 bits that holds for 997 of
     1000 pairs of similarity 0.8; where they meet, whole fingerprints are compared in tiles as above, within a wide radius. That only finds clusters of
     candidates: the links are all pairs of a cluster whose sets of shingles are similar enough, which is computed from the texts."""
     kind = df.schema[id_col].dataType.simpleString()
-    blocks, radius = 64 * lanes // block_bits, wide_radius(similarity, lanes)
+    radius = wide_radius(similarity, lanes)
 
     def make():
         def step(batch):
@@ -357,14 +389,17 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, similarity: float =
     prints = materialize(map_batches(df.select(id_col, valid(F.col(text_col))), make, f"{id_col} {kind}, lanes binary, item long"), "prints")
     items = materialize(prints.groupBy("item").agg(F.min(id_col).alias("first_id"), F.min("lanes").alias("lanes")), "items")
 
+    keys = key_bits(items.count(), similarity, lanes, block_bits)
+    count, width = keys.shape
+
     def bins():
         def step(batch):
             n = batch.num_rows
             data = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(n, -1)
-            bits = np.unpackbits(data, axis=1, bitorder="little")[:, : blocks * block_bits].reshape(n, blocks, block_bits)
-            value = bits @ (1 << np.arange(block_bits, dtype=np.int64))
-            place = (value * blocks + np.arange(blocks)).reshape(-1)
-            again = pa.array(np.repeat(np.arange(n), blocks))
+            bits = np.unpackbits(data, axis=1, bitorder="little")
+            value = np.stack([bits[:, own] @ (1 << np.arange(width, dtype=np.int64)) for own in keys], axis=1)
+            place = (value * count + np.arange(count)).reshape(-1)
+            again = pa.array(np.repeat(np.arange(n), count))
             return {"item": batch.column(0).take(again), "lanes": batch.column(1).take(again), "bin": pa.array(place, pa.int64())}
 
         return step

@@ -347,6 +347,24 @@ def test_similar_texts(spark, odd, empty):
     assert simhash.similar_texts(odd, "doc_id", "text").count() == len(ODD) and simhash.similar_texts(empty, "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("items", [1_000, 10**9, 5 * 10**10])
+def test_keys_of_similar_pairs_meet(items):
+    keys, rng = simhash.key_bits(items), np.random.default_rng(3)
+    assert items / 2 ** keys.shape[1] <= simhash.MEAN_BIN and (items > 1_000 or keys.shape == (40, 11))
+    differ = rng.random((4_000, 448)) < simhash.differing_share(0.8)
+    met = np.zeros(4_000, dtype=bool)
+    for own in keys:
+        met |= ~differ[:, own].any(axis=1)
+    assert met.mean() > 0.985
+
+
+def test_similar_texts_by_wider_keys(spark):
+    words = [f"w{i}" for i in range(900)]
+    rows = [(g * 2 + c, " ".join(words[g * 30 : g * 30 + 200] + [f"end{g}{c}"])) for g in range(0, 20, 7) for c in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df, "doc_id", "text", block_bits=14).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_similar_texts_are_sets(spark):
     line, one, other = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("s", 18), ("a", 100), ("b", 100)))
     rows = [(1, f"{line} {one}"), (2, f"{line} " * 12 + one), (3, f"{line} " * 12 + other)]
