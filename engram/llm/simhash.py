@@ -159,18 +159,23 @@ def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes],
     """binned: (bin, item, lanes). Items of one bin meet. A bin of more than bin_rows items (or that sum of weights) is dealt out: by bands, of which only
     equal and successive ones meet (those of population counts, a radius wide: others cannot be linked), and large bands as groups by
     a hash. Each pair of groups that meet is a task."""
-    rows = binned.withColumn("band", (F.lit(0) if band is None else band).cast("long"))
-    counts = rows.groupBy("bin", "band").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
-    groups = counts.groupBy("bin").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / bin_rows).cast("long").alias("groups")))).alias("groups"))
-    large = materialize(groups.where(F.col("n") > bin_rows).select("bin", "groups"), "bins")
-    dealt = rows.join(large, "bin", "left")
-    size = lambda b: F.coalesce(F.get(F.map_values(F.map_filter("groups", lambda k, _: k == b)), F.lit(0)), F.lit(0))
-    dealt = dealt.withColumn("part", F.when(F.col("groups").isNotNull(), F.col("band") * _GROUPS + F.pmod(F.xxhash64("item", F.lit(7)), size(F.col("band")))).otherwise(0))
-    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
-    others = F.flatten(F.transform(near, lambda b: F.when(size(b) > 0, F.transform(F.sequence(F.lit(0).cast("long"), size(b) - 1), lambda g: b * _GROUPS + g)).otherwise(F.array().cast("array<bigint>"))))
-    # a group meets itself, and each other group once: (low, high) names the task
-    meets = F.when(F.col("groups").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)
-    tasks = dealt.select("item", "lanes", "bin", "part", F.explode(meets).alias("m")).select("bin", "part", F.least("m", "part").alias("low"), F.greatest("m", "part").alias("high"), "item", "lanes")
+    weight = F.lit(1) if weight is None else weight
+    big = materialize(binned.groupBy("bin").agg(F.sum(weight).alias("n")).where(F.col("n") > bin_rows).select("bin"), "bins")
+    zero = F.lit(0).cast("long")
+    if big.limit(1).count():
+        rows = binned.withColumn("band", (F.lit(0) if band is None else band).cast("long"))
+        counts = rows.join(big, "bin", "left_semi").groupBy("bin", "band").agg(F.ceil(F.sum(weight) / bin_rows).cast("long").alias("groups"))
+        large = materialize(counts.groupBy("bin").agg(F.map_from_entries(F.collect_list(F.struct("band", "groups"))).alias("groups")), "bands")
+        size = lambda b: F.coalesce(F.get(F.map_values(F.map_filter("groups", lambda k, _: k == b)), F.lit(0)), zero)
+        own = F.when(F.col("groups").isNotNull(), F.col("band") * _GROUPS + F.pmod(F.xxhash64("item", F.lit(7)), size(F.col("band")))).otherwise(zero)
+        near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+        others = F.flatten(F.transform(near, lambda b: F.when(size(b) > 0, F.transform(F.sequence(zero, size(b) - 1), lambda g: b * _GROUPS + g)).otherwise(F.array().cast("array<bigint>"))))
+        # a group meets itself, and each other group once: (low, high) names the task
+        meets = F.when(F.col("groups").isNull(), F.array(zero)).otherwise(others)
+        dealt = rows.join(large, "bin", "left").withColumn("part", own)
+        tasks = dealt.select("item", "lanes", "bin", "part", F.explode(meets).alias("m")).select("bin", "part", F.least("m", "part").alias("low"), F.greatest("m", "part").alias("high"), "item", "lanes")
+    else:
+        tasks = binned.select("bin", zero.alias("part"), zero.alias("low"), zero.alias("high"), "item", "lanes")
     spread = tasks.repartition("bin", "low", "high").sortWithinPartitions("bin", "low", "high", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
