@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import time
@@ -90,6 +91,14 @@ def forget(*frames: DataFrame) -> None:
             _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers are kept between tasks, also while later stages run in the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 1_000) -> DataFrame:
     """Arrow-batched map. make() runs once in a task and returns a function from a batch of at most `rows` rows to columns."""
     names = StructType.fromDDL(schema).names
@@ -101,7 +110,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
                 out = step(whole.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
             del whole
-            pa.default_memory_pool().release_unused()  # workers are kept, also while later stages run in the JVM
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm._common import forget, map_batches, materialize, valid
+from engram.llm._common import forget, give_back, map_batches, materialize, valid
 from engram.llm.components import components, contracted_components
 
 RADIUS = 3
@@ -217,6 +217,8 @@ def _meet(binned: DataFrame, bin_rows: int, compare_rows: Callable[[list[bytes],
         if held is not None:
             close(held)
         yield flush()
+        held = None
+        give_back()
 
     return spread.mapInArrow(run, "a long, b long")
 
