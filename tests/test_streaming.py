@@ -43,3 +43,36 @@ def test_three_stages(spark, centre):
     got = subscribe.matches(chunks, m, subscribe.scope_keywords(m), centre).collect()
     assert [(r.chunk_id, r.memory_id, r.confidence) for r in got] == [(1, "a", 1.0)]
     assert np.allclose(subscribe.centroid(m.where("memory_id <> 'b'")), [0.5**0.5, 0.5**0.5])
+
+
+def test_nearest_of_many_equal_vectors_makes_small_tiles(spark):
+    """A scope whose rows share few vectors meets a chunk once for each of them; ties go to smaller ids, over blocks too."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(7, 4))
+    scope = spark.createDataFrame([(f"m{i:03d}", v[i % 7].tolist()) for i in range(300)], "memory_id string, embedding array<double>")
+    c = np.vstack([rng.normal(size=(20, 4)), np.zeros((1, 4))])
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "chunk_id long, embedding array<double>")
+    for block in (None, 3):
+        df = subscribe.nearest(chunks, scope, 50, block)
+        got = {i: [] for i in range(21)}
+        for r in df.collect():
+            got[r.chunk_id].append(r.memory_id)
+        for i, x in enumerate(c):
+            want = sorted(range(300), key=lambda j: (round(1 - float(x @ v[j % 7]), 9), j))[:50]
+            assert sorted(got[i]) == sorted(f"m{j:03d}" for j in want)
+
+
+def test_nearest_rows_of_a_tile_are_bounded():
+    """The products held at once do not grow with the rows of a tile."""
+    import tracemalloc
+
+    from engram.operators.exact import best_of
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(3000, 8)), rng.normal(size=(30_000, 8))
+    tracemalloc.start()
+    rows, cols, _ = best_of(a, b, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 15_000 and most < 200e6  # all products: 720 MB
+    assert set(cols[:5]) == set(np.argsort(1 - b @ a[0])[:5])
