@@ -63,10 +63,12 @@ def documents(notes: DataFrame, summaries: DataFrame | None = None) -> DataFrame
     return rows.select(F.sha2(F.concat(F.lit("document/"), F.col("file_path")), 256).substr(1, 32).alias("memory_id"), "file_path", "content", F.lit("document").alias("kind"), F.lit(DOCUMENT_IMPORTANCE).alias("importance"))
 
 
-def propositions(extracted: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """(file_path, content, hash, confidence): the first of equal propositions of a file, and at most per_file of them, in their order."""
+def propositions(extracted: DataFrame, per_file: int | None = PER_FILE) -> DataFrame:
+    """(file_path, content, hash, confidence): the first of equal propositions of a file, and at most per_file of them (None: all), in their order."""
     p = extracted.select("file_path", F.posexplode("parsed.propositions").alias("pos", "p")).select("file_path", "pos", F.col("p.text").alias("content"), F.col("p.confidence").alias("confidence")).where(F.trim("content") != "").withColumn("hash", text.proposition_hash(F.col("content")))
     one = p.withColumn("_r", F.row_number().over(W.partitionBy("file_path", "hash").orderBy("pos"))).where("_r = 1")
+    if per_file is None:
+        return one.drop("_r")
     return one.withColumn("_r", F.row_number().over(W.partitionBy("file_path").orderBy("pos"))).where(F.col("_r") <= per_file).drop("_r")
 
 

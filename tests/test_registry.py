@@ -50,3 +50,13 @@ def test_similarity_needs_no_shuffle_of_rows(spark, data):
 
     plan = retrieve.similarity(fixtures.memories(spark, data, vectors=True), [0.1] * 64, 5).select("memory_id", "relevance")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_ingest_propositions_counts_blank_and_null_texts(spark, tmp_path):
+    rows = [("a", "x"), ("a", "x "), ("a", "　x "), ("a", "x\t"), ("a", " "), ("a", ""), ("a", None), ("b", None), ("c", " "), (None, "y"), (None, "z")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.execute(registry.oracle_sql()["ingest_propositions"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["ingest_propositions"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and ("b", 0) in got
