@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram.functions import vec
+from engram.operators import exact, querylog
 from engram.schema import EDGE_TYPES, MAX_DEPTH, require
 
 LEARNING_RATE = 0.1
@@ -42,11 +44,6 @@ def drop_edges_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("memory_id").alias("src")), "src", "left_anti").join(ids.select(F.col("memory_id").alias("dst")), "dst", "left_anti").select(*edges.columns)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by the shared checkpoint folder; kept in memory and on local disks where none is set (one machine)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def traverse(edges: DataFrame, seed: str, depth: int, types: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """(memory_id, depth) of what directed edges reach from the seed, which is left out; the least depth counts, then the id."""
     require(1 <= depth <= MAX_DEPTH, f"depth must be within 1..{MAX_DEPTH}")
@@ -58,7 +55,7 @@ def traverse(edges: DataFrame, seed: str, depth: int, types: Sequence[str] | Non
     for d in range(1, depth + 1):
         # only the frontier's edges are read into the join; what was seen before is taken off
         step = hops.join(front.select("memory_id"), "memory_id").select(F.col("dst").alias("memory_id")).distinct().join(seen, "memory_id", "left_anti").withColumn("depth", F.lit(d))
-        front = _cut(step)  # each hop reads the written fronts, so plans do not grow with the depth
+        front = exact.cut(step)  # each hop reads the written fronts, so plans do not grow with the depth
         seen = seen.unionByName(front)
     out = seen.where("depth > 0")
     return out if most is None else out.orderBy("depth", "memory_id").limit(most)
@@ -96,36 +93,10 @@ def learn_offsets(edges: DataFrame, mem: DataFrame, rate: float = LEARNING_RATE,
     return {r["edge_type"]: r["offset"] for r in folded.collect()}
 
 
-def knn(items: DataFrame, id_col: str, vector_col: str, k: int, block: int = 4096) -> DataFrame:
-    """(id, neighbour, distance): the k nearest others of every item, exactly. Items are dealt into blocks and pairs of blocks
-    meet in a task each; it is meant for the vectors of one view or scope, as its cost is quadratic."""
-    n = items.count()
-    parts = max(1, -(-n // block))
-    dealt = items.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").withColumn("part", F.pmod(F.xxhash64(F.col("id")), F.lit(parts)).cast("int"))
-    left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    # other names: the two sides come from one table
-    right = dealt.select(F.col("id").alias("jd"), F.col("v").alias("w"), F.col("part").alias("other")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def meet(a, b):
-        import pyarrow as pa
-
-        rows = ([], [], [])
-        if a.num_rows and b.num_rows:
-            x, y = np.array(a["v"].to_pylist()), np.array(b["w"].to_pylist())
-            ia, ib = np.array(a["id"].to_pylist()), np.array(b["jd"].to_pylist())
-            d = 1 - x @ y.T
-            d[ia[:, None] == ib[None, :]] = np.inf
-            for i in range(len(ia)):
-                for j in np.lexsort((ib, np.round(d[i], 9)))[:k]:
-                    if np.isfinite(d[i, j]):
-                        for out, value in zip(rows, (ia[i], ib[j], float(d[i, j])), strict=True):
-                            out.append(value)
-        return pa.table({"id": pa.array(rows[0], a["id"].type), "neighbour": pa.array(rows[1], a["id"].type), "distance": pa.array(rows[2], pa.float64())})
-
-    kind = items.schema[id_col].dataType.simpleString()
-    found = left.groupBy("part", "other").cogroup(right.groupBy("part", "other")).applyInArrow(meet, f"id {kind}, neighbour {kind}, distance double")
-    best = W.partitionBy("id").orderBy(F.round("distance", 9), "neighbour")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("id", "neighbour", "distance")
+def knn(items: DataFrame, id_col: str, vector_col: str, k: int, block: int | None = None) -> DataFrame:
+    """(id, neighbour, distance): the k nearest others of every item, exactly (exact.nearest). Equal vectors are compared once; where all differ, the
+    products are quadratic, in tasks of bounded memory."""
+    return exact.nearest(items.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), None, k, block)
 
 
 def similarity_graph(neighbours: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
@@ -139,13 +110,13 @@ def similarity_graph(neighbours: DataFrame, edges: DataFrame, least: float = 0.5
 
 def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the smallest id that undirected pairs (a, b) reach, by minimum labels with pointer jumping, until nothing moves."""
-    both = _cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(nodes.select("id", F.col("id").alias("root")))
+    both = exact.cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = exact.cut(nodes.select("id", F.col("id").alias("root")))
     while True:
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("low"))
         told = labels.join(heard, "id", "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("root").alias("lower"))
-        new = _cut(told.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("root"), (F.least("low", F.coalesce("lower", "low")) < F.col("root")).alias("moved")))
+        new = exact.cut(told.join(jump, "low", "left").select("id", F.least("low", F.coalesce("lower", "low")).alias("root"), (F.least("low", F.coalesce("lower", "low")) < F.col("root")).alias("moved")))
         moved = new.where("moved").limit(1).count()
         labels = new.select("id", "root")
         if not moved:
@@ -155,10 +126,11 @@ def connected(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def cluster_by_distance(neighbours: DataFrame, nodes: DataFrame, share: float = 0.65, least: int = 3) -> DataFrame:
     """(id, cluster): components over the edges that are not longer than the distance at `share` of their order; components
     of fewer than `least` are -1, the others are numbered by their smallest id."""
-    edges = neighbours.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    edges = neighbours.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "distance").groupBy("a", "b").agg(F.min(F.round(F.col("distance") * 10**9)).cast("long").alias("place"))
+    edges = exact.cut(edges)  # neighbours are found once
     n = edges.count()
-    bar = edges.select(F.round("distance", 9).alias("distance")).orderBy("distance").offset(int(n * share)).limit(1).first() if n else None
-    kept = edges.where(F.round("distance", 9) <= bar["distance"]) if bar else edges.limit(0)
+    bar = querylog.percentile(edges, "place", share, first=math.ceil(n * share) - int(n * share))
+    kept = edges.where(F.col("place") <= bar) if n else edges.limit(0)
     rooted = connected(kept, nodes)
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     numbered = sizes.withColumn("cluster", F.dense_rank().over(W.orderBy("root")) - 1)  # one row for each cluster of the view

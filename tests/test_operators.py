@@ -74,6 +74,34 @@ def test_knn_is_exact(spark):
     assert got == {(i, int(j)) for i in range(60) for j in np.argsort(d[i])[:3]}
 
 
+def test_knn_of_equal_vectors_and_ties(spark):
+    rng = np.random.default_rng(4)
+    few = rng.integers(-1, 2, size=(12, 3)).astype(float)
+    x = few[rng.integers(0, 12, 90)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for block in (None, 4):
+        got = {i: set() for i in range(90)}
+        for r in graph.knn(df, "id", "v", 7, block=block).collect():
+            got[r.id].add(r.neighbour)
+        assert got == {i: set(sorted((j for j in range(90) if j != i), key=lambda j: (round(1 - float(x[i] @ x[j]), 9), j))[:7]) for i in range(90)}
+
+
+def test_clusters_find_neighbours_once(spark):
+    """cluster_by_distance reads its neighbours in one job: the costly step is not done again for the border and the components."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    n = [(i, i + 1, i / 100) for i in range(20)]
+    near = spark.createDataFrame(n, "id long, neighbour long, distance double").mapInArrow(count, "id long, neighbour long, distance double")
+    nodes = spark.createDataFrame([(i,) for i in range(21)], "id long")
+    got = {r.id: r.cluster for r in graph.cluster_by_distance(near, nodes).collect()}
+    assert got == {i: 0 if i <= 14 else -1 for i in range(21)} and seen.value == 20
+
+
 def test_learned_offset_is_an_ordered_fold(spark):
     m = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [0.6, 0.8])], "memory_id string, assoc_embedding array<double>")
     e = spark.createDataFrame([("a", "b", "caused_by", 1.0, 1), ("b", "c", "caused_by", 1.0, 2)], "src string, dst string, edge_type string, confidence double, ts_us long")
