@@ -60,3 +60,12 @@ def test_ingest_propositions_counts_blank_and_null_texts(spark, tmp_path):
     want = c.execute(registry.oracle_sql()["ingest_propositions"]).fetchall()
     got = [tuple(r) for r in registry.queries()["ingest_propositions"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and ("b", 0) in got
+
+
+def test_edges_equal_their_sql_in_tasks_of_few_rows(spark, data, duck):
+    """The view of the edges takes tasks by the rows of the table, and holds no texts while it orders them."""
+    from engram.sources import fixtures
+
+    e = fixtures.edges(spark, data, 100)
+    assert e.select("src").where("edge_type = 'followed_by'").rdd.getNumPartitions() >= 10
+    assert norm([tuple(r) for r in e.collect()], e.columns, e.columns) == norm(duck.execute(f"with {fixtures.SQL_E} select src, dst, edge_type, confidence, ts_us from edges").fetchall(), e.columns, e.columns)
